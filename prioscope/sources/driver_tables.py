@@ -61,12 +61,14 @@ def _lookup(d: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), key)
 
 
-def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw ticket export derived from orders and events (text fields as exported)."""
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderpriority")
-    events = table(spark, sf_dir, "events").select("event_id", "value", "ts")
-    joined = orders.join(events, orders.o_orderkey == events.event_id, "left")
+def tickets_from(orders: DataFrame, events: DataFrame, how: str = "left") -> DataFrame:
+    """Raw ticket rows from an orders and an events DataFrame (batch or stream)."""
+    orders = orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    events = events.select("event_id", "value", "ts")
+    if how == "left":
+        joined = orders.join(events, orders.o_orderkey == events.event_id, "left")
+    else:  # stream-static: the event side drives, orders are looked up
+        joined = events.join(orders, events.event_id == orders.o_orderkey, "inner")
     k = F.pmod(F.col("o_orderkey") * 7 + F.col("o_custkey"), F.lit(16))
     return joined.select(
         F.col("o_orderkey").cast("string").alias("ticket_id"),
@@ -81,3 +83,8 @@ def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(TICKET_TYPES, F.pmod(F.col("o_custkey"), F.lit(4))).alias("ticket_type"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
+
+
+def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw ticket export derived from orders and events (text fields as exported)."""
+    return tickets_from(table(spark, sf_dir, "orders"), table(spark, sf_dir, "events"))
