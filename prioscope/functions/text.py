@@ -6,8 +6,6 @@ compiles into whole-stage codegen; no Python UDF is involved.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,24 +55,61 @@ def python_dot(pattern: str) -> str:
     return "".join(out)
 
 
-def matches(text_lc: Column, item: str) -> Column:
-    """Boolean: does one keyword or pattern hit the (already lower-cased) text."""
+# Long lexicons are rendered as one SQL expression string per column: building the
+# same tree from hundreds of small Column objects costs one py4j round trip each,
+# while the optimised plan is identical.
+
+
+def sql_lit(s: str) -> str:
+    """Spark SQL string literal (backslash escapes)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _name(text_lc: str | Column) -> str:
+    if isinstance(text_lc, str):
+        return f"`{text_lc}`"
+    raise TypeError("pass the lower-cased text as a column name")
+
+
+def matches_sql(text_lc: str, item: str) -> str:
+    t = _name(text_lc)
     if is_literal(item):
-        return text_lc.contains(F.lit(item))
-    return text_lc.rlike(python_dot(item))
+        return f"contains({t}, {sql_lit(item)})"
+    return f"({t} RLIKE {sql_lit(python_dot(item))})"
 
 
-def hit_count(text_lc: Column, items) -> Column:
+def matches(text_lc: str, item: str) -> Column:
+    """Boolean: does one keyword or pattern hit the (already lower-cased) text column."""
+    return F.expr(matches_sql(text_lc, item))
+
+
+def hit_count(text_lc: str, items) -> Column:
     """Number of distinct list entries that hit the text (not occurrences)."""
     items = list(items)
     if not items:
         return F.lit(0)
-    return reduce(lambda a, b: a + b, [matches(text_lc, it).cast("int") for it in items])
+    return F.expr(" + ".join(f"CAST({matches_sql(text_lc, it)} AS INT)" for it in items))
+
 
+# Separator for joining hits; never part of a keyword.
+_SEP = "\x01"
 
-def hits_in_order(text_lc: Column, words) -> Column:
-    """array<string> of the list entries found in the text, in list order."""
+
+def hits_in_order(text_lc: str, words) -> Column:
+    """array<string> of the list entries found in the text, in list order.
+
+    Rendered as ``concat_ws`` over ``CASE WHEN contains(..) THEN word END`` (nulls are
+    skipped) and a ``split``: all codegen'd, and the ``contains`` tests are shared
+    with ``hit_count`` by subexpression elimination when both sit in one projection.
+    A higher-order ``filter(array, lambda)`` would run interpreted per element.
+    """
     words = list(words)
-    if not words:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda k: F.instr(text_lc, k) > 0)
+    if not words or any(_SEP in w for w in words):
+        if not words:
+            return F.expr("CAST(array() AS array<string>)")
+        raise ValueError("keyword contains the reserved separator")
+    t = _name(text_lc)
+    parts = ", ".join(f"CASE WHEN contains({t}, {sql_lit(w)}) THEN {sql_lit(w)} END" for w in words)
+    joined = f"concat_ws('{_SEP}', {parts})"
+    return F.expr(f"CASE WHEN {joined} = '' THEN CAST(array() AS array<string>) "
+                  f"ELSE split({joined}, '{_SEP}') END")

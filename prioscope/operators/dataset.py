@@ -63,31 +63,28 @@ def stratified_split(df: DataFrame, label: str = "mismatch_label", id_col: str =
 
     Within each class, rows ranked by (md5(id|seed), id) get ``train`` for rank <=
     floor(n * cuts[0]), ``val`` for rank <= floor(n * cuts[1]), else ``test``.
+
+    Pass 1 counts rows per (class, hash-prefix bucket): partial aggregation leaves at
+    most ``#classes * 16**prefix`` rows, whose running sums (a window over that small
+    table) give each bucket's rank offset. Pass 2 ranks rows inside their bucket with
+    a window partitioned by (class, bucket) -- thousands of small, evenly filled
+    partitions even when one class holds most rows -- and adds the offset.
     """
     c1, c2 = cuts
     keyed = df.withColumn("__h", split_key(id_col, seed)).withColumn("__b", F.substring("__h", 1, prefix))
     buckets = keyed.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(label)
-    buckets = buckets.select(
-        label, "__b", "__n",
-        (F.sum("__n").over(upto) - F.col("__n")).alias("__before"),
-        F.sum("__n").over(whole).alias("__total"),
-    ).select(label, "__b", "__n", "__before",
-             F.floor(F.col("__total") * c1).alias("__k1"),
-             F.floor(F.col("__total") * c2).alias("__k2"))
-
-    def by_rank(r):
-        return F.when(r <= F.col("__k1"), "train").when(r <= F.col("__k2"), "val").otherwise("test")
-
-    first, last = F.col("__before") + 1, F.col("__before") + F.col("__n")
-    straddles = ((first <= F.col("__k1")) & (last > F.col("__k1"))) | \
-                ((first <= F.col("__k2")) & (last > F.col("__k2")))
-    # The bucket table has at most (#classes * 16**prefix) rows: a proven size bound.
-    tagged = keyed.join(F.broadcast(buckets.withColumn("__cut", straddles)), [label, "__b"])
-    whole_bucket = tagged.where(~F.col("__cut")).withColumn(out, by_rank(last))
+    offsets = buckets.select(
+        label, "__b",
+        F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"),
+        F.floor(F.sum("__n").over(whole) * c1).alias("__k1"),
+        F.floor(F.sum("__n").over(whole) * c2).alias("__k2"),
+    )
     in_bucket = Window.partitionBy(label, "__b").orderBy("__h", id_col)
-    ranked = tagged.where(F.col("__cut")).withColumn(
-        out, by_rank(F.col("__before") + F.row_number().over(in_bucket)))
-    cols = df.columns + [out]
-    return whole_bucket.select(*cols).unionByName(ranked.select(*cols))
+    ranked = keyed.withColumn("__r", F.row_number().over(in_bucket))
+    # The offsets table is bounded by #classes * 16**prefix rows: a proven size bound.
+    joined = ranked.join(F.broadcast(offsets), [label, "__b"])
+    r = F.col("__before") + F.col("__r")
+    split = F.when(r <= F.col("__k1"), "train").when(r <= F.col("__k2"), "val").otherwise("test")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], split.alias(out))

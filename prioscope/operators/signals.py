@@ -16,7 +16,7 @@ SIGNAL_COLUMNS = [
 ]
 
 
-def top_keywords(text_lc, lexicon: Lexicon):
+def top_keywords(text_lc: str, lexicon: Lexicon):
     crit = hits_in_order(text_lc, lexicon.crit)
     if lexicon.top_keywords == "crit_high":
         high = hits_in_order(text_lc, lexicon.high)
@@ -25,32 +25,38 @@ def top_keywords(text_lc, lexicon: Lexicon):
 
 
 def with_text_signal(df: DataFrame, lexicon: Lexicon | str = CORE,
-                     text_col: str = "full_text") -> DataFrame:
+                     text_col: str = "full_text", prefix: str = "") -> DataFrame:
     """Append hit counts, weighted score, text severity (1..4) and top keywords.
 
     The text is lower-cased once into a helper column that every test reads; a null
-    text counts as ''.
+    text counts as ''. ``prefix`` names the new columns (e.g. to score one table with
+    two lexicons side by side).
     """
     lx = preset(lexicon)
     w = lx.weights
-    t = F.col("__text_lc")
-    staged = df.withColumn("__text_lc", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    counts = {
-        "crit_kw_count": hit_count(t, lx.crit),
-        "high_kw_count": hit_count(t, lx.high),
-        "med_kw_count": hit_count(t, lx.med),
-        "low_kw_count": hit_count(t, lx.low),
-        "esc_phrase_count": hit_count(t, lx.esc),
-        "negation_count": hit_count(t, lx.neg),
-    }
-    staged = staged.withColumns(counts).withColumn("top_keywords", top_keywords(t, lx))
-    score = (F.col("crit_kw_count") * w["crit"] + F.col("esc_phrase_count") * w["esc"]
-             + F.col("negation_count") * w["neg"] + F.col("high_kw_count") * w["high"]
-             + F.col("med_kw_count") * w["med"] + F.col("low_kw_count") * w["low"])
-    staged = staged.withColumn("nlp_score", score.cast("double"))
-    staged = staged.withColumn("nlp_severity", text_severity(
-        F.col("nlp_score"), F.col("esc_phrase_count"), F.col("crit_kw_count")))
-    return staged.drop("__text_lc")
+    t = "__text_lc"
+    p = prefix
+    staged = df.select("*", F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias(t))
+    counts = [
+        hit_count(t, lx.crit).alias(p + "crit_kw_count"),
+        hit_count(t, lx.high).alias(p + "high_kw_count"),
+        hit_count(t, lx.med).alias(p + "med_kw_count"),
+        hit_count(t, lx.low).alias(p + "low_kw_count"),
+        hit_count(t, lx.esc).alias(p + "esc_phrase_count"),
+        hit_count(t, lx.neg).alias(p + "negation_count"),
+        top_keywords(t, lx).alias(p + "top_keywords"),
+    ]
+    new = {p + c for c in SIGNAL_COLUMNS}
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in new]
+    staged = staged.select(*keep, *counts)
+    score = F.expr(
+        f"CAST(`{p}crit_kw_count` * {w['crit']} + `{p}esc_phrase_count` * {w['esc']}"
+        f" + `{p}negation_count` * {w['neg']} + `{p}high_kw_count` * {w['high']}"
+        f" + `{p}med_kw_count` * {w['med']} + `{p}low_kw_count` * {w['low']} AS DOUBLE)")
+    staged = staged.select("*", score.alias(p + "nlp_score"))
+    return staged.select("*", text_severity(
+        F.col(p + "nlp_score"), F.col(p + "esc_phrase_count"), F.col(p + "crit_kw_count")
+    ).alias(p + "nlp_severity"))
 
 
 def with_time_signal(df: DataFrame, baseline: DataFrame | None = None,

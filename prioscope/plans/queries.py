@@ -15,13 +15,14 @@ from prioscope.lexicon import APP, BASELINE, CORE, FULL, Lexicon
 from prioscope.operators import dossier as D
 from prioscope.operators import metrics as M
 from prioscope.operators import reports as R
-from prioscope.operators.audit import audit, rule_predictions
+from prioscope.operators.audit import audit, rule_predictions, signal_mismatch
 from prioscope.operators.clean import clean, time_baseline
 from prioscope.operators.dataset import (class_weights, imbalance, stratified_split,
                                          with_model_input)
 from prioscope.operators.ids import tag_scan, ticket_id_from_position, with_position
+from prioscope.operators.challenge import scoreboard
 from prioscope.operators.signals import with_text_signal
-from prioscope.sources.driver_tables import raw_tickets, table, tickets_from
+from prioscope.sources.driver_tables import raw_tickets, spread, table, tickets_from
 
 # Our own lexicon for the prose in ``documents`` (licence lines, leaked tokens, IPs,
 # e-mail addresses): shows a custom lexicon over whole long texts.
@@ -65,10 +66,12 @@ def dossiers(spark: SparkSession, sf: str, style: str = "notebook") -> DataFrame
 
 
 def labelled_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """label = fused pseudo-label, prediction = rule-only (text severity) label."""
-    fused = audited(spark, sf).select("ticket_id", F.col("mismatch_label").alias("label"))
-    nlp = audited(spark, sf, mode="nlp").select("ticket_id", F.col("mismatch_label").alias("prediction"))
-    return fused.join(nlp, "ticket_id")
+    """label = fused pseudo-label, prediction = rule-only (text severity) label.
+
+    Both labels come from one audit pass (same rows, same text signal), so no join."""
+    a = audited(spark, sf)
+    return a.select("ticket_id", F.col("mismatch_label").alias("label"),
+                    signal_mismatch("nlp_severity").alias("prediction"))
 
 
 # ---------------------------------------------------------------- cleaning
@@ -136,7 +139,7 @@ def _text_signal(lexicon):
 
 
 def q_document_keyword_hits(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     s = with_text_signal(docs, DOCUMENT_LEXICON, text_col="text")
     return s.select("doc_id", "crit_kw_count", "high_kw_count", "esc_phrase_count",
                     "negation_count", "nlp_score", "nlp_severity", _kw())
@@ -295,7 +298,7 @@ def q_dossier_validation(spark, sf):
                       F.lit(None).cast("string").alias("interpretation"))
     d = d.withColumn("dossier", F.col("dossier").withField(
         "feature_evidence", F.concat(F.col("dossier.feature_evidence"), F.array(seeded))))
-    v = D.validate_dossiers(d, tickets(spark, sf))
+    v = D.validate_dossiers(d)  # dossiers carry their ticket text: no join needed
     return v.select("ticket_id", F.size("violations").alias("n_violations"),
                     F.array_join("violations", " ; ").alias("violations"), "valid")
 
@@ -329,14 +332,17 @@ def q_parsed_response(spark, sf):
 
 
 def q_challenge_scoreboard(spark, sf):
-    """Keyword-only baseline vs rule model vs fused truth, joined per ticket."""
-    truth = audited(spark, sf).select("ticket_id", F.col("mismatch_label").alias("true_label"))
-    base = audited(spark, sf, BASELINE, "nlp").select("ticket_id", F.col("mismatch_label").alias("keyword_pred"))
-    core = audited(spark, sf, CORE, "nlp").select("ticket_id", F.col("mismatch_label").alias("model_pred"))
-    j = truth.join(base, "ticket_id").join(core, "ticket_id")
-    return j.agg(F.count(F.lit(1)).alias("n"),
-                 F.count_if(F.col("keyword_pred") == F.col("true_label")).alias("keyword_correct"),
-                 F.count_if(F.col("model_pred") == F.col("true_label")).alias("model_correct"))
+    """Keyword-only baseline vs rule model vs fused truth per ticket, then totals.
+
+    All three systems score the same rows, so they are computed side by side in one
+    pass (the baseline lexicon's columns under a prefix) instead of joining three
+    prediction tables on ticket_id."""
+    a = audited(spark, sf)
+    a = with_text_signal(a, BASELINE, prefix="base_")
+    per_ticket = a.select("ticket_id", F.col("mismatch_label").alias("true_label"),
+                          signal_mismatch("base_nlp_severity").alias("keyword_pred"),
+                          signal_mismatch("nlp_severity").alias("model_pred"))
+    return scoreboard(per_ticket)
 
 
 # ---------------------------------------------------------------- model / streaming

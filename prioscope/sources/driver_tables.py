@@ -16,6 +16,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prioscope.functions.text import sql_lit
+
 # FIXED VALUES — phrase bank (subject, description) of the adapter; our own texts.
 PHRASE_BANK = [
     ("Export stalled", "Nightly export is not working since noon"),
@@ -53,12 +55,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _pick(values, idx: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a scan by ``keys`` only when it has fewer splits than the cluster
+    has task slots (e.g. one small single-row-group file); large inputs already have
+    one task per split and are returned untouched, so no shuffle is added at scale."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, *keys) if keys else df.repartition(slots)
+
+
+def _sql(v) -> str:
+    return "CAST(NULL AS STRING)" if v is None else sql_lit(v)
+
+
+def _pick(values, idx_sql: str) -> Column:
+    """values[idx] (0-based) as one SQL expression."""
+    return F.expr(f"element_at(array({', '.join(_sql(v) for v in values)}), CAST({idx_sql} AS INT) + 1)")
 
 
-def _lookup(d: dict, key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), key)
+def _lookup(d: dict, key_sql: str) -> Column:
+    pairs = ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in d.items())
+    return F.expr(f"element_at(map({pairs}), {key_sql})")
 
 
 def tickets_from(orders: DataFrame, events: DataFrame, how: str = "left") -> DataFrame:
@@ -69,22 +87,22 @@ def tickets_from(orders: DataFrame, events: DataFrame, how: str = "left") -> Dat
         joined = orders.join(events, orders.o_orderkey == events.event_id, "left")
     else:  # stream-static: the event side drives, orders are looked up
         joined = events.join(orders, events.event_id == orders.o_orderkey, "inner")
-    k = F.pmod(F.col("o_orderkey") * 7 + F.col("o_custkey"), F.lit(16))
+    k = "pmod(o_orderkey * 7 + o_custkey, 16)"
     return joined.select(
         F.col("o_orderkey").cast("string").alias("ticket_id"),
         F.col("o_orderkey").alias("order_key"),
         _pick([s for s, _ in PHRASE_BANK], k).alias("subject"),
         _pick([d for _, d in PHRASE_BANK], k).alias("description"),
-        _lookup(PRIORITY_TEXT, F.col("o_orderpriority")).alias("priority"),
-        F.coalesce(_lookup(PRIORITY_ALT_TEXT, F.col("o_orderpriority")),
-                   F.lit("Unknown")).alias("priority_alt"),
+        _lookup(PRIORITY_TEXT, "o_orderpriority").alias("priority"),
+        F.coalesce(_lookup(PRIORITY_ALT_TEXT, "o_orderpriority"), F.lit("Unknown")).alias("priority_alt"),
         (F.floor(F.col("value") * 10.0) / 10.0).alias("resolution_hours"),
-        _pick(CHANNELS, F.pmod(F.col("o_orderkey"), F.lit(4))).alias("channel"),
-        _pick(TICKET_TYPES, F.pmod(F.col("o_custkey"), F.lit(4))).alias("ticket_type"),
+        _pick(CHANNELS, "pmod(o_orderkey, 4)").alias("channel"),
+        _pick(TICKET_TYPES, "pmod(o_custkey, 4)").alias("ticket_type"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
 
 
 def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw ticket export derived from orders and events (text fields as exported)."""
-    return tickets_from(table(spark, sf_dir, "orders"), table(spark, sf_dir, "events"))
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    return tickets_from(orders, table(spark, sf_dir, "events"))
