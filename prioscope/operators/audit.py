@@ -18,10 +18,11 @@ APP_RULE_CONFIDENCE_MISMATCH = 0.75
 def with_mismatch(df: DataFrame, severity_col: str = "inferred_severity",
                   assigned_col: str = "priority_score") -> DataFrame:
     """Label, delta and type from an inferred severity and the assigned score."""
-    out = df.withColumn("inferred_severity_label", level_label(F.col(severity_col)))
-    out = out.withColumn("severity_delta", (F.col(severity_col) - F.col(assigned_col)).cast("int"))
-    out = out.withColumn("mismatch_label", mismatch_label(F.col("severity_delta")))
-    return out.withColumn("mismatch_type", mismatch_type(F.col("mismatch_label"), F.col("severity_delta")))
+    delta = (F.col(severity_col) - F.col(assigned_col)).cast("int")
+    label = mismatch_label(delta)
+    return df.select("*", level_label(F.col(severity_col)).alias("inferred_severity_label"),
+                     delta.alias("severity_delta"), label.alias("mismatch_label"),
+                     mismatch_type(label, delta).alias("mismatch_type"))
 
 
 def audit(df: DataFrame, lexicon: Lexicon | str = CORE, mode: str = "fused",
@@ -34,13 +35,14 @@ def audit(df: DataFrame, lexicon: Lexicon | str = CORE, mode: str = "fused",
     """
     out = with_text_signal(df, lexicon, text_col)
     out = with_time_signal(out, baseline)
-    out = out.withColumn("fused_score", fused_score(F.col("nlp_severity"), F.col("rt_severity")))
+    fused = fused_score(F.col("nlp_severity"), F.col("rt_severity"))
     if mode == "fused":
-        out = out.withColumn("inferred_severity", fused_severity(F.col("fused_score")))
+        inferred = fused_severity(fused)
     elif mode == "nlp":
-        out = out.withColumn("inferred_severity", F.col("nlp_severity").cast("int"))
+        inferred = F.col("nlp_severity").cast("int")
     else:
         raise ValueError("mode must be 'fused' or 'nlp'")
+    out = out.select("*", fused.alias("fused_score"), inferred.alias("inferred_severity"))
     return with_mismatch(out)
 
 

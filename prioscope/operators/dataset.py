@@ -2,9 +2,9 @@
 
 The split is exact (same counts as ranking every class by a seeded hash) without a
 per-class window over all rows: rows are counted per (class, hash-prefix bucket), the
-small bucket table gives each bucket's rank offset, and only rows of the (at most
-two per class) buckets that straddle a cut point are ranked one by one. A class that
-holds a third of all rows is still spread over ``16 ** prefix`` buckets.
+small bucket table gives each bucket's rank offset, and rows are ranked only inside
+their bucket. A class that holds a third of all rows is still spread over
+``16 ** prefix`` evenly filled window partitions.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (IDF, HashingTF, OneHotEncoder, RegexTokenizer, SQLTransformer,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from prioscope.operators.metrics import classification_metrics
 MAX_TOKENS = 256
 
 
-def build_pipeline(reg_param: float = 0.0, max_iter: int = 50, num_features: int = 1 << 18,
+def build_pipeline(reg_param: float = 0.0, max_iter: int = 50, num_features: int = 1 << 16,
                    text_col: str = "model_input", label: str = "mismatch_label",
                    weight_col: str = "class_weight") -> Pipeline:
     stages = [
@@ -51,18 +52,28 @@ def with_class_weight(df: DataFrame, label: str = "mismatch_label",
 
 def train(train_df: DataFrame, val_df: DataFrame | None = None, reg_params=(0.0, 0.01),
           label: str = "mismatch_label", **kw) -> PipelineModel:
-    """Fit one model per regParam; keep the best validation macro F1 (first on ties)."""
-    weighted = with_class_weight(train_df, label)
-    best, best_f1 = None, -1.0
-    for rp in reg_params:
-        model = build_pipeline(reg_param=rp, label=label, **kw).fit(weighted)
-        if val_df is None:
-            return model
-        f1 = classification_metrics(model.transform(val_df), label, "prediction") \
-            .first()["macro_f1"]
-        if f1 > best_f1:
-            best, best_f1 = model, f1
-    return best
+    """Fit one model per regParam; keep the best validation macro F1 (first on ties).
+
+    The weighted training table is persisted (memory, spilling to disk) for the
+    duration of the fits: every stage's fit and every optimiser iteration reads it,
+    and recomputing the upstream audit for each would multiply the work. A lost
+    executor's blocks are recomputed from lineage.
+    """
+    cols = [label, "model_input", "channel", "ticket_type", "resolution_hours"]
+    weighted = with_class_weight(train_df.select(*cols), label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        best, best_f1 = None, -1.0
+        for rp in reg_params:
+            model = build_pipeline(reg_param=rp, label=label, **kw).fit(weighted)
+            if val_df is None:
+                return model
+            f1 = classification_metrics(model.transform(val_df), label, "prediction") \
+                .first()["macro_f1"]
+            if f1 > best_f1:
+                best, best_f1 = model, f1
+        return best
+    finally:
+        weighted.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -69,10 +69,11 @@ def with_time_signal(df: DataFrame, baseline: DataFrame | None = None,
     """
     if baseline is None:
         baseline = time_baseline(df, hours_col)
-    b = F.broadcast(baseline.select("hours_median", "hours_mean", "hours_std"))
-    out = df.crossJoin(b)
-    h = F.coalesce(F.col(hours_col), F.col("hours_median"))
-    z = F.try_divide(h - F.col("hours_mean"), F.col("hours_std"))
-    out = out.withColumn(hours_col, h).withColumn("rt_zscore", z)
-    out = out.withColumn("rt_severity", time_severity(F.col("rt_zscore")))
-    return out.drop("hours_median", "hours_mean", "hours_std")
+    b = F.broadcast(baseline.select(F.col("hours_median").alias("__med"),
+                                    F.col("hours_mean").alias("__mean"),
+                                    F.col("hours_std").alias("__std")))
+    h = F.coalesce(F.col(hours_col), F.col("__med"))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (hours_col, "rt_zscore", "rt_severity")]
+    out = df.crossJoin(b).select(*rest, h.alias(hours_col),
+                                 F.try_divide(h - F.col("__mean"), F.col("__std")).alias("rt_zscore"))
+    return out.select("*", time_severity(F.col("rt_zscore")).alias("rt_severity"))

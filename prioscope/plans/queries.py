@@ -348,9 +348,9 @@ def q_challenge_scoreboard(spark, sf):
 # ---------------------------------------------------------------- model / streaming
 def q_classifier_predictions(spark, sf):
     from prioscope.operators import model as ML
-    a = with_model_input(audited(spark, sf))
-    split = stratified_split(a.select("ticket_id", "mismatch_label"))
-    data = a.join(split.select("ticket_id", "split"), "ticket_id")
+    a = with_model_input(audited(spark, sf)).select(
+        "ticket_id", "mismatch_label", "model_input", "channel", "ticket_type", "resolution_hours")
+    data = stratified_split(a)  # keeps every column: no join back
     m = ML.train(data.where("split = 'train'"), data.where("split = 'val'"), reg_params=(0.01,))
     scored = ML.score(m, data.where("split = 'test'"))
     return scored.select("ticket_id", "mismatch_label", "prediction", F.round("confidence", 4).alias("confidence"))

@@ -51,8 +51,17 @@ CHANNELS = ["Email", "Chat", "Phone", "Social Media"]
 TICKET_TYPES = ["Technical", "Billing", "Account", "General"]
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Parquet table of the driver data. The DataFrame (a lazy plan, no data) is
+    reused per session so the file listing and footer read happen once."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (spark.sparkContext.applicationId, id(spark), path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
