@@ -1,16 +1,20 @@
 """Cleaning: typed ticket table from a raw export.
 
-Global statistics (median / mean / std of resolution hours) are one 1-row aggregate
-joined back by broadcast (``time_baseline``); nothing uses an unkeyed window.
+Global statistics (median / mean / std of resolution hours) form a 1-row table joined
+back by broadcast (``time_baseline``): one aggregate for the moments plus the bounded
+exact median search; nothing uses an unkeyed window.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prioscope.functions.scoring import level_score, priority_norm
 from prioscope.functions.text import ws_trim
+from prioscope.operators.quantiles import exact_ranks
 
 # FIXED VALUES — defaults for absent columns.
 DEFAULT_HOURS = 24.0
@@ -46,24 +50,33 @@ def time_baseline(df: DataFrame, hours_col: str = "resolution_hours",
     """1-row table: hours_median, hours_mean, hours_std, n.
 
     Mean and population std are those of the *imputed* column (nulls replaced by the
-    median), derived in the same single pass from the observed rows' count, mean and
-    population variance plus the median (pairwise-combination formula), so the input
-    is scanned once.
-
-    ``median='exact'`` aggregates one (value -> count) entry per distinct value
-    (partial aggregation map-side); hours recorded on a fixed grid keep that small.
-    ``median='approx'`` uses ``percentile_approx`` with ``accuracy`` for inputs with
-    unbounded distinct values.
+    median), derived from the observed rows' count, mean and population variance plus
+    the median (pairwise-combination formula), so no extra pass over imputed values.
+
+    ``median='exact'`` (default): exact, bounded-memory rank search
+    (``operators.quantiles``); the statistics are computed now and the result is a
+    literal 1-row table -- a frozen baseline. ``median='percentile'``: Spark's exact
+    ``median`` aggregate, lazy, but its final task holds one entry per distinct value.
+    ``median='approx'``: lazy ``percentile_approx`` with ``accuracy``.
     """
     h = F.col(hours_col)
-    med = F.median(h) if median == "exact" else F.percentile_approx(h, 0.5, accuracy)
-    stats = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(h).alias("n_obs"),
-        med.cast("double").alias("hours_median"),
-        F.avg(h).alias("mean_obs"),
-        F.var_pop(h).alias("var_obs"),
-    )
+    moments = [F.count(F.lit(1)).alias("n"), F.count(h).alias("n_obs"),
+               F.avg(h).alias("mean_obs"), F.var_pop(h).alias("var_obs")]
+    if median == "exact":
+        st = df.agg(*moments, F.min(h).alias("lo"), F.max(h).alias("hi")).first()
+        med = None
+        if st["n_obs"]:
+            vals = df.select(h.cast("double").alias("__x")).where(F.col("__x").isNotNull())
+            lo_r, hi_r = (st["n_obs"] - 1) // 2, st["n_obs"] // 2
+            at = exact_ranks(vals, {lo_r, hi_r}, st["lo"], st["hi"])
+            a, b = at[lo_r], at[hi_r]
+            med = a if lo_r == hi_r else a + (b - a) * 0.5
+        mean, std = _imputed_moments(st["n"], st["n_obs"], st["mean_obs"], st["var_obs"], med)
+        return df.sparkSession.createDataFrame(
+            [(med, mean, std, st["n"])],
+            "hours_median double, hours_mean double, hours_std double, n long")
+    med_col = F.median(h) if median == "percentile" else F.percentile_approx(h, 0.5, accuracy)
+    stats = df.agg(*moments, med_col.cast("double").alias("hours_median"))
     n, k, m = F.col("n"), F.col("n_obs"), F.col("hours_median")
     gap = (n - k).cast("double")
     mean = (k * F.col("mean_obs") + gap * m) / n
@@ -76,6 +89,16 @@ def time_baseline(df: DataFrame, hours_col: str = "resolution_hours",
     )
 
 
+def _imputed_moments(n, k, mean_obs, var_obs, med):
+    """Mean and population std after filling n - k nulls with ``med``."""
+    if not k:
+        return None, None
+    gap = float(n - k)
+    mean = (k * mean_obs + gap * med) / n
+    m2 = k * var_obs + (k * gap / n) * (med - mean_obs) ** 2
+    return mean, math.sqrt(m2 / n)
+
+
 def impute_hours(df: DataFrame, baseline: DataFrame, hours_col: str = "resolution_hours") -> DataFrame:
     """Null hours -> the baseline median (broadcast 1-row join)."""
     b = F.broadcast(baseline.select("hours_median"))

@@ -23,7 +23,7 @@ from prioscope.operators.metrics import classification_metrics
 MAX_TOKENS = 256
 
 
-def build_pipeline(reg_param: float = 0.0, max_iter: int = 50, num_features: int = 1 << 16,
+def build_pipeline(reg_param: float = 0.0, max_iter: int = 30, num_features: int = 1 << 14,
                    text_col: str = "model_input", label: str = "mismatch_label",
                    weight_col: str = "class_weight") -> Pipeline:
     stages = [

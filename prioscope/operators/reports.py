@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from prioscope.functions.scoring import NLP_WEIGHT, RT_WEIGHT, mismatch_label
 from prioscope.lexicon import LEVELS
+from prioscope.operators.quantiles import exact_quantiles
 
 
 def _rate(c) -> F.Column:
@@ -101,13 +102,17 @@ def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
-    """count, mean, sample std, min, exact quartiles (linear interpolation), max."""
+    """count, mean, sample std, min, exact quartiles (linear interpolation), max.
+
+    Quartiles come from the bounded-memory exact search (``operators.quantiles``),
+    computed now; the other statistics are one lazy aggregate."""
     x = F.col(col)
-    q = F.percentile(x, [0.25, 0.5, 0.75])
+    q = exact_quantiles(df, col, [0.25, 0.5, 0.75])
     return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                  F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max")).select(
+                  F.min(x).alias("min"), F.max(x).alias("max")).select(
         "count", "mean", "std", "min",
-        F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+        *[F.lit(q[p]).cast("double").alias(name) for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))],
+        "max")
 
 
 def kpis(df: DataFrame, type_col: str = "mismatch_type") -> DataFrame:

@@ -348,9 +348,12 @@ def q_challenge_scoreboard(spark, sf):
 # ---------------------------------------------------------------- model / streaming
 def q_classifier_predictions(spark, sf):
     from prioscope.operators import model as ML
+    from prioscope.session import materialize
     a = with_model_input(audited(spark, sf)).select(
         "ticket_id", "mismatch_label", "model_input", "channel", "ticket_type", "resolution_hours")
-    data = stratified_split(a)  # keeps every column: no join back
+    # the split keeps every column (no join back); fitting reads the data many times,
+    # so the prepared table is written once to the shared checkpoint folder
+    data = materialize(stratified_split(a), "classifier-input")
     m = ML.train(data.where("split = 'train'"), data.where("split = 'val'"), reg_params=(0.01,))
     scored = ML.score(m, data.where("split = 'test'"))
     return scored.select("ticket_id", "mismatch_label", "prediction", F.round("confidence", 4).alias("confidence"))

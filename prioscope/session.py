@@ -66,3 +66,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused sub-folder of the shared checkpoint root."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str):
+    """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder and
+    return a DataFrame that scans it. Used before iterative work (model fitting) so
+    every pass plans and reads a plain scan instead of the whole upstream job."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
