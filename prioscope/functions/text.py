@@ -113,3 +113,14 @@ def hits_in_order(text_lc: str, words) -> Column:
     joined = f"concat_ws('{_SEP}', {parts})"
     return F.expr(f"CASE WHEN {joined} = '' THEN CAST(array() AS array<string>) "
                   f"ELSE split({joined}, '{_SEP}') END")
+
+
+def to_pipe(c: Column) -> Column:
+    """array<string> -> 'a|b|c' (only at CSV edges)."""
+    return F.array_join(c, "|")
+
+
+def from_pipe(c: Column) -> Column:
+    """'a| b ||c' -> ['a', 'b', 'c']: split on '|', strip, drop blanks; null -> []."""
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: ws_trim(x))
+    return F.filter(parts, lambda x: x != "")

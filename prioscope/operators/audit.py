@@ -93,3 +93,13 @@ def model_predictions(scored: DataFrame, label_col: str = "prediction",
         "severity_delta",
         F.round(F.col(confidence_col), 4).alias("confidence"),
     )
+
+
+def predict(audited_nlp: DataFrame, model=None, style: str = "cli") -> DataFrame:
+    """Batch prediction rows (M6/M7): the classifier's label when a model is given
+    (``operators.model``), else the rule-only fallback. ``audited_nlp`` comes from
+    ``audit(..., mode='nlp')`` and, with a model, must carry ``model_input``."""
+    if model is None:
+        return rule_predictions(audited_nlp, style)
+    from prioscope.operators.model import score
+    return model_predictions(score(model, audited_nlp), style=style)

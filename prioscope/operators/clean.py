@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,14 +64,22 @@ def time_baseline(df: DataFrame, hours_col: str = "resolution_hours",
     moments = [F.count(F.lit(1)).alias("n"), F.count(h).alias("n_obs"),
                F.avg(h).alias("mean_obs"), F.var_pop(h).alias("var_obs")]
     if median == "exact":
-        st = df.agg(*moments, F.min(h).alias("lo"), F.max(h).alias("hi")).first()
-        med = None
-        if st["n_obs"]:
-            vals = df.select(h.cast("double").alias("__x")).where(F.col("__x").isNotNull())
-            lo_r, hi_r = (st["n_obs"] - 1) // 2, st["n_obs"] // 2
-            at = exact_ranks(vals, {lo_r, hi_r}, st["lo"], st["hi"])
-            a, b = at[lo_r], at[hi_r]
-            med = a if lo_r == hi_r else a + (b - a) * 0.5
+        # one double column, kept (memory, spilling to disk) for the few search rounds
+        # so they do not recompute the upstream plan; recomputed from lineage if lost
+        col = df.select(h.cast("double").alias("__x")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            x = F.col("__x")
+            st = col.agg(F.count(F.lit(1)).alias("n"), F.count(x).alias("n_obs"),
+                         F.avg(x).alias("mean_obs"), F.var_pop(x).alias("var_obs"),
+                         F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+            med = None
+            if st["n_obs"]:
+                lo_r, hi_r = (st["n_obs"] - 1) // 2, st["n_obs"] // 2
+                at = exact_ranks(col.where(x.isNotNull()), {lo_r, hi_r}, st["lo"], st["hi"])
+                a, b = at[lo_r], at[hi_r]
+                med = a if lo_r == hi_r else a + (b - a) * 0.5
+        finally:
+            col.unpersist()
         mean, std = _imputed_moments(st["n"], st["n_obs"], st["mean_obs"], st["var_obs"], med)
         return df.sparkSession.createDataFrame(
             [(med, mean, std, st["n"])],
@@ -148,3 +157,9 @@ def clean(df: DataFrame, priority_map: str = "wide", unknown_priority: str = "de
 def blank_rejects(df: DataFrame) -> DataFrame:
     """Tickets whose description is empty after stripping (refused by single scoring)."""
     return df.where(ws_trim(F.coalesce(F.col("description"), F.lit(""))) == "")
+
+
+def keep_present(df: DataFrame, wanted) -> DataFrame:
+    """Project the wanted columns that exist, in the wanted order (P10)."""
+    have = set(df.columns)
+    return df.select(*[F.col(f"`{c}`") for c in wanted if c in have])

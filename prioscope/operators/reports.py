@@ -146,3 +146,8 @@ def top_values(evidence: DataFrame, k: int = 15, signal: str = "keyword") -> Dat
 def split_rates(df: DataFrame, split_col: str = "split") -> DataFrame:
     return df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n"),
                                      F.avg(F.col("mismatch_label").cast("double")).alias("mismatch_rate"))
+
+
+def preview(df: DataFrame, n: int = 5, order_by: str = "ticket_id") -> DataFrame:
+    """First ``n`` rows in a stable order (TakeOrderedAndProject; no full sort)."""
+    return df.orderBy(order_by).limit(n)
