@@ -444,10 +444,11 @@ SELECT ticket_id, priority_norm AS assigned_priority, inferred_severity_label AS
 FROM kwl"""),
         "dossier_text_cli": with_audit(flagged_evidence_ctes() + f"""
 SELECT ticket_id, CASE WHEN severity_delta > 0 THEN 'Hidden Crisis' ELSE 'False Alarm' END AS mismatch_type,
-       severity_delta, {cli_analysis} AS constraint_analysis, CAST(nk + 1 AS INTEGER) AS n_evidence FROM kwl"""),
+       severity_delta, {cli_analysis} AS constraint_analysis, CAST(nk + 1 AS INTEGER) AS n_evidence FROM kwl""",
+                                       mode="nlp"),
         "dossier_text_app": with_audit(f"""
 SELECT ticket_id, mismatch_type, {app_analysis} AS constraint_analysis, CAST(0.8 AS DOUBLE) AS confidence,
-       CAST(len({kw_in_text}) + CAST({app_hours} AS INTEGER) AS INTEGER) AS n_evidence FROM au"""),
+       CAST(len({kw_in_text}) + CAST({app_hours} AS INTEGER) AS INTEGER) AS n_evidence FROM au""", mode="nlp"),
         "dossier_validation": with_audit(flagged_evidence_ctes() + """
 , vv AS (SELECT ticket_id, list_transform(
            list_filter(list_append(kws, channel),

@@ -61,7 +61,10 @@ def flagged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dossiers(spark: SparkSession, sf: str, style: str = "notebook") -> DataFrame:
-    a = audited(spark, sf).withColumn("confidence", F.lit(0.80))
+    """Notebook-style dossiers explain the fused pseudo-labels; the CLI and app
+    styles explain the rule-only inference, whose severity is the text signal alone."""
+    mode = "fused" if style == "notebook" else "nlp"
+    a = audited(spark, sf, mode=mode).withColumn("confidence", F.lit(0.80))
     return D.build_dossiers(a, style=style)
 
 
