@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prioscope.functions.text import ws_trim
+from prioscope.functions.text import sql_lit, ws_trim
 from prioscope.lexicon import LEVELS
 
 # FIXED VALUES — fusion weights of the text and time signals.
@@ -23,8 +23,12 @@ DEFAULT_PRIORITY = "Medium"
 DEFAULT_SCORE = 2
 
 
-def _map_literal(d: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+def _sql_map(d: dict) -> str:
+    return "map(" + ", ".join(f"{sql_lit(k)}, {sql_lit(v)}" for k, v in d.items()) + ")"
+
+
+def _sql_levels() -> str:
+    return "array(" + ", ".join(sql_lit(x) for x in LEVELS) + ")"
 
 
 def priority_norm(raw: Column, mapping: str = "wide", unknown: str = "default") -> Column:
@@ -35,21 +39,20 @@ def priority_norm(raw: Column, mapping: str = "wide", unknown: str = "default")
     (null stays null).
     """
     table = {"strict": STRICT_PRIORITY, "wide": WIDE_PRIORITY}[mapping]
-    key = F.lower(ws_trim(raw))
-    mapped = F.element_at(_map_literal(table), key)
+    mapped = F.element_at(F.expr(_sql_map(table)), F.lower(ws_trim(raw)))
     fallback = F.lit(DEFAULT_PRIORITY) if unknown == "default" else ws_trim(raw)
     return F.coalesce(mapped, fallback)
 
 
 def level_score(label: Column) -> Column:
     """Low 1 .. Critical 4; anything else 2."""
-    idx = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), label)
+    idx = F.array_position(F.expr(_sql_levels()), label)
     return F.when(idx > 0, idx.cast("int")).otherwise(F.lit(DEFAULT_SCORE))
 
 
 def level_label(level: Column) -> Column:
     """1..4 -> Low..Critical (null outside)."""
-    return F.element_at(F.array(*[F.lit(x) for x in LEVELS]), level.cast("int"))
+    return F.element_at(F.expr(_sql_levels()), level.cast("int"))
 
 
 def text_severity(score: Column, esc: Column, crit: Column) -> Column:

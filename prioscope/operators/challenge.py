@@ -11,10 +11,15 @@ BONUS_MIN_CORRECT = 7
 
 def compare_predictions(truth: DataFrame, keyword: DataFrame, model: DataFrame) -> DataFrame:
     """Per-ticket table from separately produced prediction tables (inner joins on
-    ticket_id): ticket_id, true_label, keyword_pred, model_pred, *_correct."""
+    ticket_id): ticket_id, true_label, keyword_pred, model_pred, *_correct.
+
+    Each prediction table is reduced to one row per id first (a repeated id counts as
+    a mismatch if any copy says so), so a hot id cannot multiply rows in the join."""
+    def one_per_id(df, out):
+        return df.groupBy("ticket_id").agg(F.max("prediction").alias(out))
     j = (truth.select("ticket_id", "true_label")
-         .join(keyword.select("ticket_id", F.col("prediction").alias("keyword_pred")), "ticket_id")
-         .join(model.select("ticket_id", F.col("prediction").alias("model_pred")), "ticket_id"))
+         .join(one_per_id(keyword, "keyword_pred"), "ticket_id")
+         .join(one_per_id(model, "model_pred"), "ticket_id"))
     return j.withColumns({
         "keyword_correct": F.col("keyword_pred") == F.col("true_label"),
         "model_correct": F.col("model_pred") == F.col("true_label"),

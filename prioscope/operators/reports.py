@@ -73,7 +73,8 @@ def delta_histogram(df: DataFrame, lo: int = -4, hi: int = 4) -> DataFrame:
     counts = df.groupBy("severity_delta").agg(F.count(F.lit(1)).alias("n"))
     axis = spark.range(lo, hi + 1).select(F.col("id").cast("int").alias("severity_delta"))
     return (axis.join(counts, "severity_delta", "left")
-            .select("severity_delta", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+            .select("severity_delta", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+            .orderBy("severity_delta"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:

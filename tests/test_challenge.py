@@ -57,3 +57,11 @@ def test_scoreboard_four_of_ten(spark):
     board = bonus(scoreboard(base.join(core, "ticket_id"))).first()
     assert (board.n, board.keyword_correct) == (10, 4)
     assert board.bonus_earned is False
+
+
+def test_compare_predictions_one_row_per_ticket(spark):
+    from prioscope.operators.challenge import compare_predictions
+    truth = spark.createDataFrame([("a", 1), ("b", 0)], "ticket_id string, true_label int")
+    kw = spark.createDataFrame([("a", 1), ("a", 0), ("a", 1), ("b", 0)], "ticket_id string, prediction int")
+    out = compare_predictions(truth, kw, kw)
+    assert sorted((r.ticket_id, r.keyword_pred) for r in out.collect()) == [("a", 1), ("b", 0)]

@@ -97,3 +97,10 @@ def test_prompt_cuts_description(spark):
     a = _audited(spark).withColumn("full_text", F.lit("x" * 1000))
     p = D.with_prompt(a).first().prompt
     assert "- description: " + "x" * 400 + "\n" in p and "x" * 401 not in p
+
+
+def test_validator_join_with_duplicated_ids_does_not_multiply(spark):
+    d = D.build_dossiers(_audited(spark)).drop("full_text", "subject")
+    t = _audited(spark).select("ticket_id", "full_text", "subject")
+    hot = t.unionByName(t).unionByName(t)  # every id three times
+    assert D.validate_dossiers(d, hot).count() == d.count()
