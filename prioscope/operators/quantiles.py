@@ -11,8 +11,9 @@ unbounded. Here the rank is located by repeated narrowing instead:
 3. the bucket holding the wanted rank becomes the new ``[lo, hi]`` (its own min and
    max, so each round strictly shrinks the range) until it holds one distinct value.
 
-Ranks that share a range share the pass. Doubles resolve in a handful of rounds
-(a 1024-way split per round); each round scans one column.
+All open ranges of a round share one grouped job (they are disjoint buckets of the
+previous round). Doubles resolve in a handful of rounds (a 1024-way split per
+round); each round scans one persisted column.
 Interpolation between neighbouring ranks is ``lo + (hi - lo) * frac``, the same
 formula as Spark's ``percentile`` and DuckDB's ``quantile_cont``.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,61 +35,92 @@ def _values(df: DataFrame, col: str) -> DataFrame:
     return df.select(x.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
 
 
+def _bucket(x, a: float, b: float, bins: int):
+    """0-based equal-width bucket of ``x`` within ``[a, b]``."""
+    if math.isinf(b - a):  # range wider than the largest double: halve first
+        frac = (x * 0.5 - F.lit(a * 0.5)) / F.lit(b * 0.5 - a * 0.5)
+    else:
+        frac = (x - F.lit(a)) / F.lit(b - a)
+    return F.least(F.floor(frac * bins), F.lit(bins - 1))
+
+
 def exact_ranks(vals: DataFrame, ranks, lo: float, hi: float, bins: int = BINS) -> dict:
-    """Values at the given 0-based ranks of the (non-null, sorted) column ``__x``."""
+    """Values at the given 0-based ranks of the (non-null, sorted) column ``__x``.
+
+    The open ranges of one round are buckets of the previous round, hence disjoint,
+    so one grouped job histograms all of them: key = range index * bins + bucket.
+    """
     pending = {k: (lo, hi, 0) for k in set(ranks)}
     found: dict = {}
+    x = F.col("__x")
     for _ in range(MAX_ROUNDS):
-        if not pending:
-            return found
         groups: dict = {}
         for k, rng in pending.items():
-            groups.setdefault(rng, []).append(k)
-        pending = {}
-        for (a, b, below), ks in groups.items():
-            if a == b:
-                found.update({k: a for k in ks})
-                continue
-            x = F.col("__x")
-            if math.isinf(b - a):  # range wider than the largest double: halve first
-                frac = (x * 0.5 - F.lit(a * 0.5)) / F.lit(b * 0.5 - a * 0.5)
+            if rng[0] == rng[1]:
+                found[k] = rng[0]
             else:
-                frac = (x - F.lit(a)) / F.lit(b - a)
-            bucket = F.least(F.floor(frac * bins), F.lit(bins - 1)).cast("int")
-            hist = (vals.where((x >= a) & (x <= b)).groupBy(bucket.alias("b"))
-                    .agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-                    .orderBy("b").collect())
-            start = below
-            for row in hist:
-                end = start + row["n"]
-                for k in ks:
-                    if start <= k < end:
-                        if row["lo"] == row["hi"]:
-                            found[k] = row["lo"]
-                        else:
-                            pending[k] = (row["lo"], row["hi"], start)
-                start = end
+                groups.setdefault(rng, []).append(k)
+        if not groups:
+            return found
+        ranges = list(groups)
+        key = None
+        for i, (a, b, _) in enumerate(ranges):
+            inside = (x >= a) & (x <= b)
+            k_i = F.lit(i * bins) + _bucket(x, a, b, bins)
+            key = F.when(inside, k_i) if key is None else key.when(inside, k_i)
+        # at most len(ranges) * bins rows come back; ordering them here saves the
+        # sampling job of a distributed sort
+        hist = sorted(vals.select(key.cast("long").alias("g"), x).where(F.col("g").isNotNull())
+                      .groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"),
+                                        F.max(x).alias("hi")).collect(), key=lambda r: r["g"])
+        pending = {}
+        starts = {i: below for i, (_, _, below) in enumerate(ranges)}
+        for row in hist:
+            i = row["g"] // bins
+            start = starts[i]
+            end = start + row["n"]
+            for k in groups[ranges[i]]:
+                if start <= k < end:
+                    pending[k] = (row["lo"], row["hi"], start)
+            starts[i] = end
     raise RuntimeError("quantile search did not converge")
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, bins: int = BINS) -> dict:
-    """``{p: value}`` for each probability (linear interpolation); None on no data."""
-    vals = _values(df, col)
-    st = vals.agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi")).first()
-    n = st["n"]
-    if not n:
-        return {p: None for p in probs}
-    wanted = {}
-    for p in probs:
-        pos = p * (n - 1)
-        wanted[p] = (math.floor(pos), math.ceil(pos), pos - math.floor(pos))
-    ranks = {r for lo_r, hi_r, _ in wanted.values() for r in (lo_r, hi_r)}
-    at = exact_ranks(vals, ranks, st["lo"], st["hi"], bins)
+def quantile_summary(df: DataFrame, col: str, probs, bins: int = BINS):
+    """``({p: value}, stats)`` for the non-null, non-NaN values of ``col``.
+
+    ``stats`` is the Row of the first pass: n, lo (min), hi (max), mean, std (sample),
+    so a summary needs no further pass over the upstream plan. Quantiles use linear
+    interpolation and are None on no data.
+    """
+    # one double column, kept (memory, spilling to disk) for the few search passes so
+    # they do not recompute the upstream plan; recomputed from lineage if lost
+    vals = _values(df, col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        x = F.col("__x")
+        st = vals.agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
+                      F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).first()
+        n = st["n"]
+        if not n:
+            return {p: None for p in probs}, st
+        wanted = {}
+        for p in probs:
+            pos = p * (n - 1)
+            wanted[p] = (math.floor(pos), math.ceil(pos), pos - math.floor(pos))
+        ranks = {r for lo_r, hi_r, _ in wanted.values() for r in (lo_r, hi_r)}
+        at = exact_ranks(vals, ranks, st["lo"], st["hi"], bins)
+    finally:
+        vals.unpersist()
     out = {}
     for p, (lo_r, hi_r, frac) in wanted.items():
         a, b = at[lo_r], at[hi_r]
         out[p] = a if lo_r == hi_r else a + (b - a) * frac
-    return out
+    return out, st
+
+
+def exact_quantiles(df: DataFrame, col: str, probs, bins: int = BINS) -> dict:
+    """``{p: value}`` for each probability (linear interpolation); None on no data."""
+    return quantile_summary(df, col, probs, bins)[0]
 
 
 def exact_median(df: DataFrame, col: str, bins: int = BINS):

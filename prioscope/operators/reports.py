@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from prioscope.functions.scoring import NLP_WEIGHT, RT_WEIGHT, mismatch_label
 from prioscope.lexicon import LEVELS
-from prioscope.operators.quantiles import exact_quantiles
+from prioscope.operators.quantiles import quantile_summary
 
 
 def _rate(c) -> F.Column:
@@ -105,15 +105,14 @@ def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
 def describe(df: DataFrame, col: str) -> DataFrame:
     """count, mean, sample std, min, exact quartiles (linear interpolation), max.
 
-    Quartiles come from the bounded-memory exact search (``operators.quantiles``),
-    computed now; the other statistics are one lazy aggregate."""
-    x = F.col(col)
-    q = exact_quantiles(df, col, [0.25, 0.5, 0.75])
-    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                  F.min(x).alias("min"), F.max(x).alias("max")).select(
-        "count", "mean", "std", "min",
-        *[F.lit(q[p]).cast("double").alias(name) for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))],
-        "max")
+    Computed now, over non-null, non-NaN values: the moments come from the first pass
+    of the bounded-memory exact quartile search (``operators.quantiles``), which
+    reads one persisted column, so the upstream plan runs once. Returns one row."""
+    q, st = quantile_summary(df, col, [0.25, 0.5, 0.75])
+    return df.sparkSession.createDataFrame(
+        [(st["n"], st["mean"], st["std"], st["lo"], q[0.25], q[0.5], q[0.75], st["hi"])],
+        "count long, mean double, std double, min double, q25 double, q50 double, "
+        "q75 double, max double")
 
 
 def kpis(df: DataFrame, type_col: str = "mismatch_type") -> DataFrame:
