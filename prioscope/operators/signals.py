@@ -56,10 +56,13 @@ def with_text_signal(df: DataFrame, lexicon: Lexicon | str = CORE,
     # the Generate, which codegens in the same stage.
     names = [p + c for c in SIGNAL_COLUMNS if c not in ("nlp_score", "nlp_severity")]
     staged = staged.select(*keep, F.inline(F.array(F.struct(*[F.col(f"`{n}`") for n in names]))))
+    # double literals (``4.0D``): a bare ``4.0`` is a DECIMAL in Spark SQL and would make
+    # every row do decimal arithmetic; the weights are exact binary fractions
+    d = {k: f"{float(v)!r}D" for k, v in w.items()}
     score = F.expr(
-        f"CAST(`{p}crit_kw_count` * {w['crit']} + `{p}esc_phrase_count` * {w['esc']}"
-        f" + `{p}negation_count` * {w['neg']} + `{p}high_kw_count` * {w['high']}"
-        f" + `{p}med_kw_count` * {w['med']} + `{p}low_kw_count` * {w['low']} AS DOUBLE)")
+        f"`{p}crit_kw_count` * {d['crit']} + `{p}esc_phrase_count` * {d['esc']}"
+        f" + `{p}negation_count` * {d['neg']} + `{p}high_kw_count` * {d['high']}"
+        f" + `{p}med_kw_count` * {d['med']} + `{p}low_kw_count` * {d['low']}")
     staged = staged.select("*", score.alias(p + "nlp_score"))
     return staged.select("*", text_severity(
         F.col(p + "nlp_score"), F.col(p + "esc_phrase_count"), F.col(p + "crit_kw_count")
