@@ -70,3 +70,16 @@ def test_repartition_invariance(spark):
     t2 = t.repartition(13)
     a2 = audit(t2, baseline=time_baseline(t2)).select("ticket_id", "mismatch_type")
     assert a1.exceptAll(a2).count() == 0 and a2.exceptAll(a1).count() == 0
+
+
+def test_rule_only_flag_filter_runs_each_keyword_test_once(spark):
+    """A filter on the rule-only label must not drag the keyword tests into a pushed
+    predicate (one copy per reference), which overflowed codegen and re-ran them."""
+    from prioscope.lexicon import CORE
+    from prioscope.plans.queries import audited
+    flagged = audited(spark, SF01, mode="nlp").where(F.col("mismatch_label") == 1)
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == len(CORE.esc)
+    assert plan.count("Contains(__text_lc") == len(CORE.crit) * 3 + len(CORE.high) + len(CORE.neg)
+    got = flagged.groupBy("mismatch_type").count().collect()
+    assert {r["mismatch_type"] for r in got} <= {"Hidden Crisis", "False Alarm"}
