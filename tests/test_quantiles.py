@@ -35,3 +35,18 @@ def test_quantiles_equal_numpy(spark, kind):
 def test_no_values(spark):
     df = spark.createDataFrame([(None,)], "h double")
     assert exact_quantiles(df, "h", [0.5]) == {0.5: None}
+
+
+def test_describe_equals_pandas(spark):
+    """count, mean, sample std, min, quartiles, max over non-null values (pandas rules)."""
+    import pandas as pd
+    from prioscope.operators.reports import describe
+    rng = np.random.default_rng(11)
+    x = np.concatenate([np.round(rng.exponential(30, 3001), 1), np.full(700, 24.0)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 5, "h double").repartition(7)
+    got = describe(df, "h").first().asDict()
+    want = pd.Series(x).describe()
+    assert got["count"] == int(want["count"])
+    for ours, theirs in (("mean", "mean"), ("std", "std"), ("min", "min"), ("q25", "25%"),
+                         ("q50", "50%"), ("q75", "75%"), ("max", "max")):
+        assert got[ours] == pytest.approx(want[theirs], rel=1e-12), ours
