@@ -46,6 +46,21 @@ def audit(df: DataFrame, lexicon: Lexicon | str = CORE, mode: str = "fused",
     return with_mismatch(out)
 
 
+def mismatches_only(audited: DataFrame, label_col: str = "mismatch_label") -> DataFrame:
+    """Rows flagged as a mismatch (P13), filtered above a one-row generator.
+
+    Catalyst pushes a filter through a Project by substituting aliases. A label that
+    depends on the text alone (``mode='nlp'``) would then carry every keyword test,
+    and the lower-cased text, once per reference down to the scan. That overflows the
+    64 KB codegen limit and re-runs the matching. Filters on generated columns are
+    not pushed below a Generate, which codegens in the same stage. (With the fused
+    label the filter stops at the baseline join anyway.)
+    """
+    cols = [F.col(f"`{c}`") for c in audited.columns]
+    fenced = audited.select(F.inline(F.array(F.struct(*cols))))
+    return fenced.where(F.col(label_col) == 1)
+
+
 def signal_mismatch(severity_col: str, assigned_col: str = "priority_score"):
     """0/1 mismatch of a single signal against the assigned priority."""
     return mismatch_label(F.col(severity_col) - F.col(assigned_col))

@@ -49,13 +49,6 @@ def with_text_signal(df: DataFrame, lexicon: Lexicon | str = CORE,
     new = {p + c for c in SIGNAL_COLUMNS}
     keep = [F.col(f"`{c}`") for c in df.columns if c not in new]
     staged = staged.select(*keep, *counts)
-    # Hand the counts on through a one-row generator. Pushing a filter through a
-    # Project substitutes aliases, so a filter on a label derived from the counts
-    # (e.g. rule-only mismatches) would otherwise carry every keyword test, once per
-    # reference, down to the scan. Catalyst keeps filters on generated columns above
-    # the Generate, which codegens in the same stage.
-    names = [p + c for c in SIGNAL_COLUMNS if c not in ("nlp_score", "nlp_severity")]
-    staged = staged.select(*keep, F.inline(F.array(F.struct(*[F.col(f"`{n}`") for n in names]))))
     # double literals (``4.0D``): a bare ``4.0`` is a DECIMAL in Spark SQL and would make
     # every row do decimal arithmetic; the weights are exact binary fractions
     d = {k: f"{float(v)!r}D" for k, v in w.items()}

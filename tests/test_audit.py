@@ -76,10 +76,18 @@ def test_rule_only_flag_filter_runs_each_keyword_test_once(spark):
     """A filter on the rule-only label must not drag the keyword tests into a pushed
     predicate (one copy per reference), which overflowed codegen and re-ran them."""
     from prioscope.lexicon import CORE
+    from prioscope.operators.audit import mismatches_only
     from prioscope.plans.queries import audited
-    flagged = audited(spark, SF01, mode="nlp").where(F.col("mismatch_label") == 1)
+    flagged = mismatches_only(audited(spark, SF01, mode="nlp"))
     plan = flagged._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == len(CORE.esc)
     assert plan.count("Contains(__text_lc") == len(CORE.crit) * 3 + len(CORE.high) + len(CORE.neg)
     got = flagged.groupBy("mismatch_type").count().collect()
     assert {r["mismatch_type"] for r in got} <= {"Hidden Crisis", "False Alarm"}
+
+
+def test_unused_text_signal_is_pruned(spark):
+    """A report that reads no text column runs no keyword test at all."""
+    from prioscope.plans.queries import QUERIES
+    plan = QUERIES["time_signal"](spark, SF01)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" not in plan and "RLIKE" not in plan
