@@ -10,8 +10,10 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF001
 
-SQL = E.oracle_sql()
-QUERIES = E.queries()
+from prioscope.plans.oracle import oracle_sql
+from prioscope.plans.queries import QUERIES
+
+SQL = oracle_sql()
 TABLES = ["orders", "events", "documents", "customer", "lineitem"]
 
 
