@@ -33,9 +33,10 @@ END_ID = 2
 #: Hash buckets of one length; ranks are counted bucket by bucket.
 RANK_BUCKETS = 256
 #: Words whose ids one Python worker keeps at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 _MIXED = re.compile(r" \s|\s ")
+_DOUBLE = re.compile(r"\s\s")
 _TOKENIZERS: dict = {}
 
 
@@ -45,37 +46,72 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet by its rule: printable Latin-1 stands for itself, the other
+    bytes for the code points from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in own]
+    return {x: chr(x) for x in own} | {x: chr(256 + i) for i, x in enumerate(rest)}
+
+
 class _Encoder:
-    """Ids of whole texts. The byte-level vocabulary starts a new token at every space that
-    follows no other space, so words between single spaces are encoded once and kept;
-    texts with other runs of white space are encoded as they are."""
+    """Ids of whole texts. A byte-level vocabulary starts a new token at every space that
+    follows no other white space, at a word's end and at a line's end, so the words between
+    single spaces are encoded once and kept; texts with other runs of white space, and all
+    texts under another kind of tokenizer, are encoded as they are."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.tokenizer = t = Tokenizer.from_file(path)
+        cut = t.pre_tokenizer
+        self.by_word = (isinstance(t.model, models.BPE) and t.normalizer is None and isinstance(cut, pre_tokenizers.ByteLevel)
+                        and not cut.add_prefix_space and cut.use_regex)
+        self.model = t.model
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(m.ids, "<u4").tobytes() for m in made]
+        self.marks = {m: self._whole(m) for m in ",.\n"}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Letters, with a space in front or not: one piece for the merges."""
+        piece = word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+
+    def _new(self, part: str, lead: str) -> bytes:
+        if part.isalpha():
+            return self._word(lead + part)
+        if part[-1:] in (",", ".") and part[:-1].isalpha():
+            stem = self._kept(part[:-1]) if lead else self._word(part[:-1])
+            return stem + self.marks[part[-1]]
+        if part.count("\n") == 1 and part[0] != "\n" and part[-1] != "\n" and not _DOUBLE.search(part):
+            left, right = part.split("\n")
+            return self._new(left, lead) + self.marks["\n"] + self._new(right, "")
+        return self._whole(lead + part)
+
+    def _kept(self, part: str) -> bytes:
+        b = self.known.get(part)
+        if b is None:
+            b = self.known[part] = self._new(part, " ")
+        return b
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes] = []
-        known = self.known
         for text in texts:
             text = text or ""
-            if _MIXED.search(text):
-                out += self._encode([text])
+            if not self.by_word or _MIXED.search(text):
+                out.append(self._whole(text))
                 continue
             first, *rest = text.split(" ")
+            known = self.known
             if len(known) > CACHE_WORDS:
                 known.clear()
-            new = list({w for w in rest if w not in known})
-            made = self._encode([first, *[" " + w for w in new]])
-            known.update(zip(new, made[1:]))
-            out.append(b"".join([made[0], *[known[w] for w in rest]]))
+            for part in set(rest).difference(known):
+                self._kept(part)
+            out.append(b"".join([self._new(first, "") if first else b"", *[known[w] for w in rest]]))
         return out
 
 

@@ -399,7 +399,7 @@ def test_registered_packing(spark):
         assert all(m[2] == 1024 for m in mine[1:])
 
 
-@pytest.mark.parametrize("text", ["a  b", " a b", "a b ", "a\n b", "a \n\n b  ", "x  y  z", "it's 12 o'clock!! <|endoftext|> end", "\t\ttab \t x", "   ", "é è 　 ü"])
+@pytest.mark.parametrize("text", ["a  b", " a b", "a b ", "a\n b", "a \n\n b  ", "x  y  z", "it's 12 o'clock!! <|endoftext|> end", "\t\ttab \t x", "   ", "é è 　 ü", "Word, word. word,, 3rd, a.b", "one.\ntwo three\n\nfour five\n", "a\t\nb c\rd\u2028e f", "ﬁ ª² x² ʰ,"])
 def test_cached_words_give_the_same_ids(text):
     got = np.frombuffer(packing._encoder(packing.default_tokenizer()).ids([text])[0], "<u4").tolist()
     assert got == whole_ids(text)[:-1]
