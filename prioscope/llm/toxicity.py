@@ -15,7 +15,7 @@ scored alike. Only the named columns are read.
 
 from __future__ import annotations
 
-import re
+import math
 
 import numpy as np
 import xxhash
@@ -34,22 +34,39 @@ EPOCHS = 20
 BATCH = 128
 RATE = 1.0
 THRESHOLD = 0.7
-CLEAN_COST = 4
+CLEAN_COST = 10
 #: Words whose n-grams one Python worker keeps at most.
 CACHE_WORDS = 200_000
 
-_WORD = re.compile(r"[^\W_]+(?:['’_*@$!-]+[^\W_]+)*")
+_EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "…—–«»„“”‘’¿¡"
+_PRIME = np.uint32(16777619)
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
-
-
-def grams(word: str) -> list[int]:
-    """Bucket of each character n-gram of ``<word>`` and of the marked word itself."""
-    w = f"<{word}>"
-    out = [w] + [w[i:i + n] for n in GRAMS for i in range(len(w) - n + 1)]
-    return [xxhash.xxh32_intdigest(g) & (BUCKETS - 1) for g in out]
+    """Lower-case words without the punctuation at their ends."""
+    return [x for w in (text or "").lower().split() if (x := w.strip(_EDGES))]
+
+
+def grams(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of each ``<word>`` and of the marked word itself, and
+    the position in ``ws`` that each belongs to. Hashes run over whole arrays of code points."""
+    marked = [f"<{w}>" for w in ws]
+    n = np.fromiter(map(len, marked), np.int64, len(marked))
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(ws)), n)
+    starts = np.cumsum(n) - n
+    power = np.cumprod(np.full(int(n.max(initial=1)), _PRIME, np.uint32), dtype=np.uint32)
+    ids = [np.add.reduceat(code * power[np.arange(len(code)) - starts[owner]], starts)]
+    of = [np.arange(len(ws))]
+    for k in GRAMS:
+        h = np.full(max(0, len(code) - k + 1), k, np.uint32)
+        for i in range(k):
+            h = (h ^ code[i:len(h) + i]) * _PRIME
+        inside = owner[:len(h)] == owner[k - 1:len(h) + k - 1]
+        ids.append(h[inside])
+        of.append(owner[:len(h)][inside])
+    all_ = np.concatenate(ids)
+    return ((all_ ^ (all_ >> np.uint32(15))) & np.uint32(BUCKETS - 1)).astype(np.int32), np.concatenate(of)
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -57,12 +74,9 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     seen = sorted(set(words(text)))
     if not seen:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    ids, ws = [], []
-    for w in seen:
-        g = grams(w)
-        ids += g
-        ws += [1 / (len(seen) * len(g))] * len(g)
-    u, inv = np.unique(np.array(ids, np.int32), return_inverse=True)
+    ids, of = grams(seen)
+    ws = 1 / (len(seen) * np.bincount(of, minlength=len(seen))[of])
+    u, inv = np.unique(ids, return_inverse=True)
     return u, np.bincount(inv, ws, len(u)).astype(np.float32)
 
 
@@ -152,22 +166,25 @@ _SCORES: dict = {}
 
 
 def _scorer(key: str, table: np.ndarray, bias: float):
-    """Score of a text; a worker keeps the sums of the words it has seen, up to a bound."""
+    """Scores of texts; a worker keeps the values of the words it has seen, up to a bound."""
+    if key not in _SCORES:
+        _SCORES.clear()  # of an earlier model
     cache = _SCORES.setdefault(key, {})
 
-    def score(text: str | None) -> float:
-        ws = set(words(text))
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        total = 0.0
-        for w in sorted(ws):
-            v = cache.get(w)
-            if v is None:
-                g = grams(w)
-                v = cache[w] = float(table[g].mean())
-            total += v
-        z = bias + (total / len(ws) if ws else 0.0)
-        return float(1 / (1 + np.exp(-min(max(z, -700.0), 700.0))))
+    def score(texts: list[str | None]) -> list[float]:
+        out = []
+        for at in range(0, len(texts), 64):
+            sets = [set(words(t)) for t in texts[at:at + 64]]
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+            new = list({w for s in sets for w in s if w not in cache})
+            if new:
+                ids, of = grams(new)
+                cache.update(zip(new, (np.bincount(of, table[ids], len(new)) / np.bincount(of, minlength=len(new))).tolist()))
+            for s in sets:
+                z = bias + (math.fsum([cache[w] for w in s]) / len(s) if s else 0.0)  # the same in any order
+                out.append(1 / (1 + math.exp(-min(max(z, -700.0), 700.0))))
+        return out
 
     return score
 
@@ -178,8 +195,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     sent = docs.sparkSession.sparkContext.broadcast((xxhash.xxh64_hexdigest(table.tobytes()), table, bias))
 
     def run(c):
-        f = _scorer(*sent.value)
-        return {"doc_id": c["doc_id"], "score": [f(t) for t in c["text"]]}
+        return {"doc_id": c["doc_id"], "score": _scorer(*sent.value)(c["text"])}
 
     return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run,
                      f"doc_id {dict(docs.dtypes)[id_col]}, score double")
@@ -193,8 +209,7 @@ def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str =
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(c):
-        f = _scorer(*sent.value)
-        keep = [i for i, t in enumerate(c[text_col]) if f(t) < threshold]
+        keep = [i for i, x in enumerate(_scorer(*sent.value)(c[text_col])) if x < threshold]
         return {n: [c[n][i] for i in keep] for n in names}
 
     return arrow_map(docs, run, fields)
