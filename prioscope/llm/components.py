@@ -62,11 +62,12 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     links = materialize(verify(star.distinct()), "links")
     comp = connected_components(links)
     named = kept.join(comp, kept.id == comp.node, "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("c"))
+        "bucket", "id", "low", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     left = materialize(named.join(mixed, "bucket"), "mixed")
     x, y = left.alias("x"), left.alias("y")
-    cond = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
+    cond = ((F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
+            & (F.col("x.id") != F.col("x.low")))  # pairs with the bucket's smallest id are done
     if candidate is not None:
         cond = cond & candidate(F.col("x.id"), F.col("y.id"))
     rest = x.join(y, cond).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()

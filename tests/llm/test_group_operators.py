@@ -273,7 +273,7 @@ def test_line_texts_and_report(spark):
 
 
 def test_line_plan_is_native(spark):
-    plan = line_dedup.bands(line_dedup.lines(frame(spark, ODD)))._jdf.queryExecution().executedPlan().toString()
+    plan = line_dedup.bands(line_dedup.signatures(line_dedup.lines(frame(spark, ODD))))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
