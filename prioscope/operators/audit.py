@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prioscope.functions.scoring import (fused_score, fused_severity, level_label,
@@ -31,19 +31,23 @@ def audit(df: DataFrame, lexicon: Lexicon | str = CORE, mode: str = "fused",
 
     ``mode='fused'``: inferred = round(0.6 * text + 0.4 * time), clipped to 1..4 (the
     labelling rule). ``mode='nlp'``: inferred = text severity alone (the rule-only
-    inference path); the time signal is still attached for reports.
+    inference path), which needs no baseline; the time signal is attached when one is given.
     """
-    out = with_text_signal(df, lexicon, text_col)
-    out = with_time_signal(out, baseline)
-    fused = fused_score(F.col("nlp_severity"), F.col("rt_severity"))
-    if mode == "fused":
-        inferred = fused_severity(fused)
-    elif mode == "nlp":
-        inferred = F.col("nlp_severity").cast("int")
-    else:
+    if mode not in ("fused", "nlp"):
         raise ValueError("mode must be 'fused' or 'nlp'")
-    out = out.select("*", fused.alias("fused_score"), inferred.alias("inferred_severity"))
-    return with_mismatch(out)
+    out = with_text_signal(df, lexicon, text_col)
+    if mode == "fused" or baseline is not None:
+        out = with_time_signal(out, baseline)
+        out = out.withColumn("fused_score", fused_score(F.col("nlp_severity"), F.col("rt_severity")))
+    inferred = fused_severity(F.col("fused_score")) if mode == "fused" else F.col("nlp_severity").cast("int")
+    return with_mismatch(out.select("*", inferred.alias("inferred_severity")))
+
+
+def rule_confidence(style: str = "cli") -> Column:
+    """Constant confidence of the rule-only path: 0.80, but 0.75 for the app's mismatches."""
+    if style == "app":
+        return F.when(F.col("mismatch_label") == 1, APP_RULE_CONFIDENCE_MISMATCH).otherwise(RULE_CONFIDENCE)
+    return F.lit(RULE_CONFIDENCE)
 
 
 def mismatches_only(audited: DataFrame, label_col: str = "mismatch_label") -> DataFrame:
@@ -72,16 +76,12 @@ def rule_predictions(audited: DataFrame, style: str = "cli") -> DataFrame:
     ``audited`` must come from ``audit(..., mode='nlp')``. ``style='cli'``: constant
     confidence 0.80. ``style='app'``: 0.75 for mismatches, 0.80 otherwise.
     """
-    if style == "app":
-        conf = F.when(F.col("mismatch_label") == 1, APP_RULE_CONFIDENCE_MISMATCH).otherwise(RULE_CONFIDENCE)
-    else:
-        conf = F.lit(RULE_CONFIDENCE)
     return audited.select(
         "ticket_id",
         F.col("priority_norm").alias("assigned_priority"),
         F.col("inferred_severity_label").alias("inferred_severity"),
         "mismatch_label", "mismatch_type", "severity_delta",
-        conf.alias("confidence"),
+        rule_confidence(style).alias("confidence"),
     )
 
 

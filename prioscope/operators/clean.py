@@ -60,7 +60,8 @@ def time_baseline(df: DataFrame, hours_col: str = "resolution_hours",
     ``median`` aggregate, lazy, but its final task holds one entry per distinct value.
     ``median='approx'``: lazy ``percentile_approx`` with ``accuracy``.
     """
-    h = F.col(hours_col)
+    df = df.select(F.nanvl(F.col(hours_col).cast("double"), F.lit(None).cast("double")).alias(hours_col))
+    h = F.col(hours_col)  # NaN counts as missing
     moments = [F.count(F.lit(1)).alias("n"), F.count(h).alias("n_obs"),
                F.avg(h).alias("mean_obs"), F.var_pop(h).alias("var_obs")]
     if median == "exact":

@@ -16,14 +16,14 @@ from prioscope.functions.scoring import hours_text
 
 # FIXED VALUES — metadata prefix of the classifier input, and split shares / seed.
 MODEL_INPUT_FORMAT = "[CHANNEL: %s] [RESOLUTION_TIME: %s] [TYPE: %s] %s"
-MODEL_INPUT_MAX_CHARS = 512
 SPLIT_SEED = 42
 SPLIT_CUTS = (0.70, 0.85)  # train | val | test = 70 / 15 / 15
 
 
-def with_model_input(df: DataFrame, max_chars: int | None = MODEL_INPUT_MAX_CHARS,
+def with_model_input(df: DataFrame, max_chars: int | None = None,
                      out: str = "model_input") -> DataFrame:
-    """``[CHANNEL: c] [RESOLUTION_TIME: x.x hours] [TYPE: t] text``; cut to ``max_chars``."""
+    """``[CHANNEL: c] [RESOLUTION_TIME: x.x hours] [TYPE: t] text``, whole texts; a caller may
+    ask for a cut to ``max_chars``."""
     def s(c, default):
         return F.coalesce(F.col(c).cast("string"), F.lit(default))
     text = F.format_string(MODEL_INPUT_FORMAT, s("channel", "unknown"),

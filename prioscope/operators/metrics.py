@@ -1,7 +1,8 @@
 """Binary classification metrics as DataFrame aggregates.
 
 One pass counts TP/FP/FN/TN; every metric is arithmetic on that 1-row table.
-Zero division gives 0 (no error), as in the reference's metric settings.
+Zero division gives 0 (no error), as in the reference's metric settings. Values are rounded
+only for display: threshold checks and model selection use them as they are.
 """
 
 from __future__ import annotations
@@ -50,23 +51,25 @@ def _per_class(c: DataFrame) -> DataFrame:
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """2x2 confusion matrix: one row per true label, columns pred_0 / pred_1."""
-    y, p = F.col(label).cast("int"), F.col(prediction).cast("int")
-    return (df.groupBy(y.alias("label"))
-            .agg(F.count_if(p == 0).alias("pred_0"), F.count_if(p == 1).alias("pred_1")))
+    """2x2 confusion matrix: a row for each true label, present or not, columns pred_0 / pred_1."""
+    def row(name, zero, one):
+        return F.struct(F.lit(name).alias("label"), F.col(zero).alias("pred_0"), F.col(one).alias("pred_1"))
+    return counts(df, label, prediction).select(F.inline(F.array(row(0, "tn", "fp"), row(1, "fn", "tp"))))
 
 
 def classification_metrics(df: DataFrame, label: str = "label",
-                           prediction: str = "prediction", digits: int = 4) -> DataFrame:
-    """accuracy, macro F1 and per-class recall, rounded like the training report."""
+                           prediction: str = "prediction", digits: int | None = 4) -> DataFrame:
+    """accuracy, macro F1 and per-class recall; rounded like the training report, or raw
+    with ``digits=None``."""
     m = _per_class(counts(df, label, prediction))
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
-    return m.select(
-        F.round(_div(F.col("tp") + F.col("tn"), n), digits).alias("accuracy"),
-        F.round((F.col("f1_0") + F.col("f1_1")) / 2, digits).alias("macro_f1"),
-        F.round(F.col("recall0"), digits).alias("recall_class0"),
-        F.round(F.col("recall1"), digits).alias("recall_class1"),
-    )
+    values = {
+        "accuracy": _div(F.col("tp") + F.col("tn"), n),
+        "macro_f1": (F.col("f1_0") + F.col("f1_1")) / 2,
+        "recall_class0": F.col("recall0"),
+        "recall_class1": F.col("recall1"),
+    }
+    return m.select(*[(v if digits is None else F.round(v, digits)).alias(k) for k, v in values.items()])
 
 
 def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -94,7 +97,7 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
 
 
 def threshold_checks(metrics: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """Unpivot a 1-row metrics table and compare each value with its threshold."""
+    """Unpivot a 1-row table of raw metrics and compare each value with its threshold."""
     return metrics.select(F.inline(F.array(*[
         F.struct(F.lit(name).alias("metric"), F.col(name).cast("double").alias("value"),
                  F.lit(t).alias("threshold"), (F.col(name) >= F.lit(t)).alias("passed"))

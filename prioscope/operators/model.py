@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (IDF, HashingTF, OneHotEncoder, RegexTokenizer, SQLTransformer,
-                                StringIndexer, VectorAssembler)
+from pyspark.ml.feature import (IDF, HashingTF, OneHotEncoder, RegexTokenizer, StringIndexer,
+                                VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -20,16 +20,13 @@ from pyspark.sql import functions as F
 from prioscope.operators.dataset import class_weights
 from prioscope.operators.metrics import classification_metrics
 
-MAX_TOKENS = 256
-
 
 def build_pipeline(reg_param: float = 0.0, max_iter: int = 30, num_features: int = 1 << 14,
                    text_col: str = "model_input", label: str = "mismatch_label",
                    weight_col: str = "class_weight") -> Pipeline:
     stages = [
         RegexTokenizer(inputCol=text_col, outputCol="__tokens", pattern=r"\W+", toLowercase=True),
-        SQLTransformer(statement=f"SELECT *, slice(__tokens, 1, {MAX_TOKENS}) AS __tokens_cut FROM __THIS__"),
-        HashingTF(inputCol="__tokens_cut", outputCol="__tf", numFeatures=num_features),
+        HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=num_features),
         IDF(inputCol="__tf", outputCol="__tfidf"),
         StringIndexer(inputCols=["channel", "ticket_type"], outputCols=["__ch_i", "__tt_i"],
                       handleInvalid="keep"),
@@ -67,7 +64,7 @@ def train(train_df: DataFrame, val_df: DataFrame | None = None, reg_params=(0.0,
             model = build_pipeline(reg_param=rp, label=label, **kw).fit(weighted)
             if val_df is None:
                 return model
-            f1 = classification_metrics(model.transform(val_df), label, "prediction") \
+            f1 = classification_metrics(model.transform(val_df), label, "prediction", digits=None) \
                 .first()["macro_f1"]
             if f1 > best_f1:
                 best, best_f1 = model, f1

@@ -4,16 +4,20 @@ Spark's exact ``percentile`` keeps one (value -> count) entry per distinct value
 merges them all in a single task; on 100 TB of free-form doubles that buffer is
 unbounded. Here the rank is located by repeated narrowing instead:
 
-1. one aggregate gives ``n``, ``min``, ``max`` of the non-null values;
-2. each round histograms only the values still inside ``[lo, hi]`` into ``bins``
-   equal-width buckets (``groupBy(bucket)`` with count / min / max: at most ``bins``
-   rows reach the driver, partial aggregation runs map-side);
+1. one aggregate gives ``n``, ``min``, ``max`` of the non-null, non-NaN values;
+2. each round histograms only the values still inside ``[lo, hi]`` (``groupBy(bucket)``
+   with count / min / max: a bounded number of rows reaches the driver, partial
+   aggregation runs map-side);
 3. the bucket holding the wanted rank becomes the new ``[lo, hi]`` (its own min and
-   max, so each round strictly shrinks the range) until it holds one distinct value.
+   max) until it holds one distinct value.
+
+Buckets are ``bins`` equal widths, but for the second round of a range that spans several
+powers of two: there they are the powers of two, by sign. From then on a range lies between
+neighbouring powers, where doubles are evenly spaced, so a round leaves one in ``bins`` of
+at most 2^52 of them: any data ends within a handful of rounds, without a cap.
 
 All open ranges of a round share one grouped job (they are disjoint buckets of the
-previous round). Doubles resolve in a handful of rounds (a 1024-way split per
-round); each round scans one persisted column.
+previous round); each round scans one persisted column.
 Interpolation between neighbouring ranks is ``lo + (hi - lo) * frac``, the same
 formula as Spark's ``percentile`` and DuckDB's ``quantile_cont``.
 """
@@ -23,11 +27,11 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 1024
-MAX_ROUNDS = 64
+_HALF = 2400  # above any |binade| key; a binade is a power of two and a sign
 
 
 def _values(df: DataFrame, col: str) -> DataFrame:
@@ -44,16 +48,28 @@ def _bucket(x, a: float, b: float, bins: int):
     return F.least(F.floor(frac * bins), F.lit(bins - 1))
 
 
+def _binade(x: Column) -> Column:
+    """Key of the power of two below ``|x|``, in the order of x; zero in the middle."""
+    size = F.floor(F.log2(F.abs(x))) + 1200
+    return F.lit(_HALF) + F.when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size)
+
+
+def _spans_binades(a: float, b: float) -> bool:
+    return a <= 0 <= b or math.frexp(a)[1] != math.frexp(b)[1]
+
+
 def exact_ranks(vals: DataFrame, ranks, lo: float, hi: float, bins: int = BINS) -> dict:
-    """Values at the given 0-based ranks of the (non-null, sorted) column ``__x``.
+    """Values at the given 0-based ranks of the (non-null, non-NaN) column ``__x``.
 
     The open ranges of one round are buckets of the previous round, hence disjoint,
-    so one grouped job histograms all of them: key = range index * bins + bucket.
+    so one grouped job histograms all of them: key = range index * stride + bucket.
     """
     pending = {k: (lo, hi, 0) for k in set(ranks)}
     found: dict = {}
     x = F.col("__x")
-    for _ in range(MAX_ROUNDS):
+    stride = max(bins, 2 * _HALF)
+    number = 0
+    while True:
         groups: dict = {}
         for k, rng in pending.items():
             if rng[0] == rng[1]:
@@ -66,9 +82,11 @@ def exact_ranks(vals: DataFrame, ranks, lo: float, hi: float, bins: int = BINS)
         key = None
         for i, (a, b, _) in enumerate(ranges):
             inside = (x >= a) & (x <= b)
-            k_i = F.lit(i * bins) + _bucket(x, a, b, bins)
+            own = _binade(x) if number == 1 and _spans_binades(a, b) else _bucket(x, a, b, bins)
+            k_i = F.lit(i * stride) + own
             key = F.when(inside, k_i) if key is None else key.when(inside, k_i)
-        # at most len(ranges) * bins rows come back; ordering them here saves the
+        number += 1
+        # at most len(ranges) * stride rows come back; ordering them here saves the
         # sampling job of a distributed sort
         hist = sorted(vals.select(key.cast("long").alias("g"), x).where(F.col("g").isNotNull())
                       .groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"),
@@ -76,14 +94,13 @@ def exact_ranks(vals: DataFrame, ranks, lo: float, hi: float, bins: int = BINS)
         pending = {}
         starts = {i: below for i, (_, _, below) in enumerate(ranges)}
         for row in hist:
-            i = row["g"] // bins
+            i = row["g"] // stride
             start = starts[i]
             end = start + row["n"]
             for k in groups[ranges[i]]:
                 if start <= k < end:
                     pending[k] = (row["lo"], row["hi"], start)
             starts[i] = end
-    raise RuntimeError("quantile search did not converge")
 
 
 def quantile_summary(df: DataFrame, col: str, probs, bins: int = BINS):

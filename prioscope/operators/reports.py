@@ -44,7 +44,8 @@ def agreement(df: DataFrame, a: str = "nlp_severity", b: str = "rt_severity") ->
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per value, the commonest first, ties by value."""
+    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), col)
 
 
 def null_counts(df: DataFrame) -> DataFrame:

@@ -210,7 +210,7 @@ def prompt_sql() -> str:
         assigned="%s", inferred="%s", delta="%d", crit="%d", esc="%d", top_keywords="%s",
         schema=D.PROMPT_SCHEMA.replace("%", "%%"))
     return (f"printf({lit(tpl)}, ticket_id, coalesce(subject, ''), "
-            f"substring(coalesce(full_text, ''), 1, {D.PROMPT_DESCRIPTION_CHARS}), coalesce(channel, ''), "
+            f"coalesce(full_text, ''), coalesce(channel, ''), "
             f"coalesce(CAST(resolution_hours AS VARCHAR), ''), coalesce(priority_norm, ''), "
             f"coalesce(inferred_severity_label, ''), severity_delta, crit_kw_count, esc_phrase_count, "
             f"top_keywords)")
@@ -286,9 +286,10 @@ pf AS (SELECT *,
         CASE WHEN precision0 + recall0 > 0 THEN 2 * precision0 * recall0 / (precision0 + recall0) ELSE 0 END AS f1_0,
         CASE WHEN precision1 + recall1 > 0 THEN 2 * precision1 * recall1 / (precision1 + recall1) ELSE 0 END AS f1_1
        FROM pc),
-mt AS (SELECT round(coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0), 0), 4) AS accuracy,
-              round((f1_0 + f1_1) / 2, 4) AS macro_f1, round(recall0, 4) AS recall_class0,
-              round(recall1, 4) AS recall_class1 FROM pf)"""
+mr AS (SELECT coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0), 0) AS accuracy,
+              (f1_0 + f1_1) / 2 AS macro_f1, recall0 AS recall_class0, recall1 AS recall_class1 FROM pf),
+mt AS (SELECT round(accuracy, 4) AS accuracy, round(macro_f1, 4) AS macro_f1,
+              round(recall_class0, 4) AS recall_class0, round(recall_class1, 4) AS recall_class1 FROM mr)"""
 
 
 def _stream_daily_sql() -> str:
@@ -304,8 +305,8 @@ def oracle_sql() -> dict[str, str]:
     wide = case_map(f"lower(trim(priority_alt, {WS}))", WIDE_PRIORITY)
     strict = case_map(f"lower(trim(priority_alt, {WS}))", STRICT_PRIORITY)
     thresholds = " UNION ALL ".join(
-        f"SELECT {lit(n)} AS metric, CAST({n} AS DOUBLE) AS value, CAST({t} AS DOUBLE) AS threshold, "
-        f"{n} >= {t} AS passed FROM mt" for n, t in THRESHOLDS)
+        f"SELECT {lit(n)} AS metric, round(CAST({n} AS DOUBLE), 6) AS value, CAST({t} AS DOUBLE) AS threshold, "
+        f"{n} >= {t} AS passed FROM mr" for n, t in THRESHOLDS)
     app_hours = "resolution_hours IS NOT NULL AND resolution_hours <> 0"
     app_analysis = (f"CASE WHEN mismatch_label = 1 THEN printf({lit(D.ANALYSIS_APP)}, crit_kw_count, "
                     f"esc_phrase_count, inferred_severity_label, priority_norm, "
@@ -348,10 +349,14 @@ SELECT ticket_id, priority_norm, priority_score, resolution_hours, crit_kw_count
 SELECT ticket_id, priority_norm AS assigned_priority, inferred_severity_label AS inferred_severity,
        mismatch_label, mismatch_type, severity_delta, CAST(0.8 AS DOUBLE) AS confidence FROM au""",
                                        mode="nlp"),
+        "rule_predictions_app": with_audit("""
+SELECT ticket_id, priority_norm AS assigned_priority, inferred_severity_label AS inferred_severity,
+       mismatch_label, mismatch_type, severity_delta,
+       CAST(CASE mismatch_label WHEN 1 THEN 0.75 ELSE 0.8 END AS DOUBLE) AS confidence FROM au""", mode="nlp"),
         "model_input": with_audit(f"""
-SELECT ticket_id, substring(printf({lit(MODEL_INPUT_FORMAT)}, coalesce(channel, 'unknown'),
+SELECT ticket_id, printf({lit(MODEL_INPUT_FORMAT)}, coalesce(channel, 'unknown'),
        CASE WHEN resolution_hours IS NULL THEN 'unknown' ELSE printf('%.1f hours', resolution_hours) END,
-       coalesce(ticket_type, 'unknown'), coalesce(full_text, '')), 1, 512) AS model_input FROM au"""),
+       coalesce(ticket_type, 'unknown'), coalesce(full_text, '')) AS model_input FROM au"""),
         "ablation": with_audit(f"""
 , r AS (SELECT avg(CAST(abs(nlp_severity - priority_score) >= 2 AS DOUBLE)) * 100 AS a,
                avg(CAST(abs(rt_severity - priority_score) >= 2 AS DOUBLE)) * 100 AS b,
@@ -418,8 +423,9 @@ SELECT n_consistent, n_mismatch,
         "split_rates": with_audit(", " + _split_sql() + f"""
 SELECT split, count(*) AS n, {r6('avg(CAST(mismatch_label AS DOUBLE))')} AS mismatch_rate FROM sp GROUP BY 1"""),
         "confusion": with_audit(_metric_ctes() + """
-SELECT label, count(*) FILTER (WHERE prediction = 0) AS pred_0,
-       count(*) FILTER (WHERE prediction = 1) AS pred_1 FROM lp GROUP BY 1"""),
+SELECT y.label, count(lp.label) FILTER (WHERE prediction = 0) AS pred_0,
+       count(lp.label) FILTER (WHERE prediction = 1) AS pred_1
+FROM (VALUES (0), (1)) y(label) LEFT JOIN lp ON lp.label = y.label GROUP BY 1"""),
         "classification_metrics": with_audit(_metric_ctes() + "\nSELECT * FROM mt"),
         "classification_report": with_audit(_metric_ctes() + f"""
 SELECT 'Consistent' AS class_name, {r6('precision0')} AS precision, {r6('recall0')} AS recall,
@@ -447,7 +453,8 @@ SELECT ticket_id, CASE WHEN severity_delta > 0 THEN 'Hidden Crisis' ELSE 'False
        severity_delta, {cli_analysis} AS constraint_analysis, CAST(nk + 1 AS INTEGER) AS n_evidence FROM kwl""",
                                        mode="nlp"),
         "dossier_text_app": with_audit(f"""
-SELECT ticket_id, mismatch_type, {app_analysis} AS constraint_analysis, CAST(0.8 AS DOUBLE) AS confidence,
+SELECT ticket_id, mismatch_type, {app_analysis} AS constraint_analysis,
+       CAST(CASE mismatch_label WHEN 1 THEN 0.75 ELSE 0.8 END AS DOUBLE) AS confidence,
        CAST(len({kw_in_text}) + CAST({app_hours} AS INTEGER) AS INTEGER) AS n_evidence FROM au""", mode="nlp"),
         "dossier_validation": with_audit(flagged_evidence_ctes() + """
 , vv AS (SELECT ticket_id, list_transform(

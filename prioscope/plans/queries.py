@@ -15,7 +15,7 @@ from prioscope.lexicon import APP, BASELINE, CORE, FULL, Lexicon
 from prioscope.operators import dossier as D
 from prioscope.operators import metrics as M
 from prioscope.operators import reports as R
-from prioscope.operators.audit import audit, rule_predictions, signal_mismatch
+from prioscope.operators.audit import audit, rule_confidence, rule_predictions, signal_mismatch
 from prioscope.operators.clean import clean, time_baseline
 from prioscope.operators.dataset import (class_weights, imbalance, stratified_split,
                                          with_model_input)
@@ -64,8 +64,7 @@ def dossiers(spark: SparkSession, sf: str, style: str = "notebook") -> DataFrame
     """Notebook-style dossiers explain the fused pseudo-labels; the CLI and app
     styles explain the rule-only inference, whose severity is the text signal alone."""
     mode = "fused" if style == "notebook" else "nlp"
-    a = audited(spark, sf, mode=mode).withColumn("confidence", F.lit(0.80))
-    return D.build_dossiers(a, style=style)
+    return D.build_dossiers(audited(spark, sf, mode=mode), style, rule_confidence(style))
 
 
 def labelled_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,7 +168,11 @@ def q_audited_tickets(spark, sf):
 
 
 def q_rule_predictions(spark, sf):
-    return rule_predictions(audited(spark, sf, mode="nlp"), style="cli")
+    return rule_predictions(audit(tickets(spark, sf), mode="nlp"), style="cli")
+
+
+def q_rule_predictions_app(spark, sf):
+    return rule_predictions(audit(tickets(spark, sf), mode="nlp"), style="app")
 
 
 def q_model_input(spark, sf):
@@ -264,7 +267,8 @@ def q_classification_report(spark, sf):
 
 
 def q_thresholds(spark, sf):
-    return M.threshold_checks(M.classification_metrics(labelled_predictions(spark, sf)))
+    raw = M.classification_metrics(labelled_predictions(spark, sf), digits=None)
+    return M.threshold_checks(raw).withColumn("value", _r("value"))
 
 
 # ---------------------------------------------------------------- dossiers
@@ -399,6 +403,7 @@ QUERIES = {
     "time_signal": q_time_signal,
     "audited_tickets": q_audited_tickets,
     "rule_predictions": q_rule_predictions,
+    "rule_predictions_app": q_rule_predictions_app,
     "model_input": q_model_input,
     "ablation": q_ablation,
     "signal_agreement": q_signal_agreement,

@@ -17,19 +17,19 @@ DOSSIER_SCHEMA = (
 def write_dossiers(dossiers: DataFrame, path: str, dossier_col: str = "dossier",
                    mode: str = "errorifexists") -> None:
     """JSON lines, one dossier per line (partitioned output, not one array file)."""
-    dossiers.select(F.col(f"{dossier_col}.*")).write.mode(mode).json(path)
+    dossiers.select(F.col(f"{dossier_col}.*")).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def read_dossiers(spark: SparkSession, path: str) -> DataFrame:
-    """Read JSON-lines dossiers as a ``dossier`` struct; an absent path gives an
-    empty table with the same schema."""
+    """Read JSON-lines dossiers as a ``dossier`` struct with the raw line in ``dossier_json``
+    (the validator tells an absent key from a null by it); an absent path gives an empty table
+    with the same schema."""
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        flat = spark.createDataFrame([], DOSSIER_SCHEMA)
-    else:
-        flat = spark.read.schema(DOSSIER_SCHEMA).json(path)
-    return flat.select("ticket_id", F.struct(*flat.columns).alias("dossier"))
+    lines = spark.read.text(path) if fs.exists(fs_path) else spark.createDataFrame([], "value string")
+    parsed = F.from_json("value", DOSSIER_SCHEMA)
+    return lines.select(parsed.alias("dossier"), F.col("value").alias("dossier_json")).select(
+        "dossier.ticket_id", "dossier", "dossier_json")
 
 
 def write_predictions_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

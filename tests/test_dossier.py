@@ -62,6 +62,15 @@ def test_validator(spark):
     assert v["T1"] == ["Missing key: confidence", 'Hallucinated keyword evidence: "meltdown"']
 
 
+def test_null_is_not_absent_and_texts_are_not_mixed(spark):
+    d = D.build_dossiers(_audited(spark), confidence=F.lit(None).cast("double"))
+    assert all(r.violations == [] for r in D.validate_dossiers(d).collect())
+    one = d.where("ticket_id = 'T1'").drop("full_text", "subject")
+    t = spark.createDataFrame([("T1", "zz outage", "system crash"), ("T1", "bb", "zeta")], "ticket_id string, full_text string, subject string")
+    v = D.validate_dossiers(one, t).first().violations  # the text of the row (bb, zeta)
+    assert v == ['Hallucinated keyword evidence: "outage"', 'Hallucinated keyword evidence: "system crash"']
+
+
 def test_validator_joins_ticket_text(spark):
     d = D.build_dossiers(_audited(spark)).drop("full_text", "subject")
     tickets = _audited(spark).select("ticket_id", "full_text", "subject")
@@ -74,8 +83,11 @@ def test_json_extraction(spark):
         ("b", 'Sure! Here it is: {"ticket_id": "2", "mismatch_type": "False Alarm"} hope it helps'),
         ("c", '{"ticket_id": "3", "severity_'),
         ("d", "no json at all"),
+        ("e", '{"mismatch_type": "False Alarm", "severity_delta": 2.0}'),
+        ("f", '{"ticket_id": "6", "severity_delta": }'),
     ], "k string, response string")
     got = {r.k: r.parsed for r in D.parse_responses(df).collect()}
+    assert got["e"].ticket_id is None and got["e"].severity_delta == 2 and got["f"] is None
     assert got["a"].ticket_id == "1" and got["a"].severity_delta == 2
     assert got["b"].mismatch_type == "False Alarm"
     assert got["c"] is None and got["d"] is None
@@ -95,7 +107,8 @@ def test_pending_anti_join(spark):
 
 def test_prompt_cuts_description(spark):
     a = _audited(spark).withColumn("full_text", F.lit("x" * 1000))
-    p = D.with_prompt(a).first().prompt
+    assert "- description: " + "x" * 1000 + "\n" in D.with_prompt(a).first().prompt
+    p = D.with_prompt(a, max_chars=400).first().prompt
     assert "- description: " + "x" * 400 + "\n" in p and "x" * 401 not in p
 
 

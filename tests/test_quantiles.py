@@ -32,6 +32,19 @@ def test_quantiles_equal_numpy(spark, kind):
         assert got[p] == want
 
 
+def test_wide_range_and_nan(spark):
+    from prioscope.operators.clean import time_baseline
+    x = [4096.0 ** k for k in range(-80, 80)] + [-(4096.0 ** k) for k in range(-80, 80, 3)] + [0.0]
+    df = spark.createDataFrame([(v,) for v in x] + [(float("nan"),), (None,)], "h double")
+    srt = sorted(x)
+    got = exact_quantiles(df, "h", [0.0, 0.5, 1.0])
+    mid = (len(srt) - 1) / 2
+    want = srt[int(mid)] + (srt[int(np.ceil(mid))] - srt[int(mid)]) * (mid - int(mid))
+    assert got == {0.0: srt[0], 0.5: want, 1.0: srt[-1]}
+    hours = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,)], "resolution_hours double")
+    assert time_baseline(hours).first().hours_median == 2.0
+
+
 def test_no_values(spark):
     df = spark.createDataFrame([(None,)], "h double")
     assert exact_quantiles(df, "h", [0.5]) == {0.5: None}

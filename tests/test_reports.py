@@ -16,6 +16,14 @@ def test_metrics_class_never_predicted(spark):
     assert rep["Mismatch"].precision == 0.0 and m.recall_class1 == 0.0 and m.accuracy == round(1 / 3, 4)
 
 
+def test_thresholds_use_raw_values_and_confusion_is_two_by_two(spark):
+    raw = spark.createDataFrame([(0.82996, 0.9, 0.9, 0.9)], "accuracy double, macro_f1 double, recall_class0 double, recall_class1 double")
+    assert {r.metric: r.passed for r in M.threshold_checks(raw).collect()}["accuracy"] is False
+    one = spark.createDataFrame([(1, 0), (1, 1)], "label int, prediction int")
+    assert sorted(rows(M.confusion(one))) == [(0, 0, 0), (1, 1, 1)]
+    assert rows(R.value_counts(spark.createDataFrame([("b",), ("a",), ("c",), ("c",)], "v string"), "v")) == [("c", 2), ("a", 1), ("b", 1)]
+
+
 def test_histogram_max_in_last_bin(spark):
     df = spark.createDataFrame([(0.0,), (10.0,), (5.0,)], "x double")
     h = {r.bin: r.n for r in R.histogram(df, "x", 40).collect()}
