@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ COLUMN_MAP = {
     "issue_category": "ticket_type",
 }
 
+_SURPLUS = "__surplus"
+
 
 def normalise_header(name: str) -> str:
     """strip -> lower -> spaces to underscores."""
@@ -57,35 +61,71 @@ def na_to_null(df: DataFrame, tokens=None) -> DataFrame:
     return df.select(*cols)
 
 
+def _files_by_header(spark: SparkSession, path: str, multi_line: bool) -> dict[tuple, list[str]]:
+    """Files of a CSV path grouped by their headers (one header record is read per file)."""
+    groups: dict[tuple, list[str]] = {}
+    for f in sorted(spark.read.text(path).inputFiles()):
+        head = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(f)
+        if head.columns:
+            groups.setdefault(tuple(head.columns), []).append(f)
+    return groups
+
+
+def _scan_csv(spark: SparkSession, path: str, multi_line: bool) -> list[DataFrame]:
+    """One scan per distinct header, every field as text. A column past the header's last
+    takes the first surplus field of a row (null in rows that fit)."""
+    def quoted(c):
+        return "`" + c.replace("`", "``") + "` string"
+    return [(spark.read
+             .schema(", ".join(quoted(c) for c in [*header, _SURPLUS]))
+             .option("header", True)
+             .option("multiLine", multi_line)
+             .option("quote", '"')
+             .option("escape", '"')
+             .option("mode", "PERMISSIVE")
+             .csv(files)) for header, files in _files_by_header(spark, path, multi_line).items()]
+
+
 def read_tickets(spark: SparkSession, path: str, fmt: str = "csv",
-                 rename: bool = True, na_tokens=None, fill_ids: bool = True) -> DataFrame:
+                 rename: bool = True, na_tokens=None, fill_ids: bool = True,
+                 multi_line: bool = True, surplus: str = "drop") -> DataFrame:
     """Scan a ticket export: every field as text, header normalised and renamed.
 
-    CSV fields may contain quoted newlines and doubled quotes. ``path`` may be a
-    directory or a glob: all files are read (no "first file only"). Without a
-    ``ticket_id`` column, ids ``TKT_%05d`` are made from the row position in file
-    order (see ``operators.ids``).
+    ``path`` may be a directory or a glob: all files are read (no "first file only"). Files
+    are read by their own headers and united by column name, so columns may stand in another
+    order or be absent in some files. Rows with fewer fields than the header get nulls; rows
+    with more are refused (see ``surplus_rows`` for them) unless ``surplus="keep"`` keeps
+    them without the fields past the header.
+
+    ``multi_line``: quoted fields may hold newlines; one task then reads each file. Turn it off
+    for exports without such fields, so that large files are split. Without a ``ticket_id``
+    column, ids ``TKT_%05d`` are made from the row position in file order, refused rows
+    included (see ``operators.ids``).
     """
-    if fmt == "csv":
-        df = (spark.read
-              .option("header", True)
-              .option("inferSchema", False)
-              .option("multiLine", True)
-              .option("quote", '"')
-              .option("escape", '"')
-              .option("mode", "PERMISSIVE")
-              .csv(path))
-    else:
-        df = spark.read.format(fmt).load(path)
-    names = [normalise_header(c) for c in df.columns]
-    fill = fill_ids and "ticket_id" not in names
-    if fill:
-        df = tag_scan(df)
-        names += df.columns[len(names):]
-    df = na_to_null(df.toDF(*names), na_tokens)
-    if rename:
-        df = apply_column_map(df)
+    scans = _scan_csv(spark, path, multi_line) if fmt == "csv" else [spark.read.format(fmt).load(path)]
+    if not scans:
+        raise ValueError(f"no CSV file with a header at {path}")
+    fill = fill_ids and not any("ticket_id" in map(normalise_header, s.columns) for s in scans)
+    parts = []
+    for s in scans:
+        names = [c if c == _SURPLUS else normalise_header(c) for c in s.columns]
+        if fill:
+            s = tag_scan(s)
+            names += s.columns[len(names):]
+        s = na_to_null(s.toDF(*names), na_tokens)
+        parts.append(apply_column_map(s) if rename else s)
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if fill:
         df = with_position(df, "__row_pos")
         df = df.withColumn("ticket_id", ticket_id_from_position("__row_pos")).drop("__row_pos")
-    return df
+    if _SURPLUS not in df.columns:
+        return df
+    return (df if surplus == "keep" else df.where(F.col(_SURPLUS).isNull())).drop(_SURPLUS)
+
+
+def surplus_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Rejects of ``read_tickets``: rows of a CSV path with more fields than their header, as
+    ``first_field, surplus_field`` (the first one past the header)."""
+    parts = [s.where(F.col(_SURPLUS).isNotNull()).select(F.col(f"`{s.columns[0]}`").alias("first_field"), F.col(_SURPLUS).alias("surplus_field"))
+             for s in _scan_csv(spark, path, multi_line)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "first_field string, surplus_field string")

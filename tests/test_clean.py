@@ -114,6 +114,19 @@ def test_csv_quoting_na_tokens_and_ids(spark, tmpdir_fresh):
     ]
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_csv_files_with_other_headers_and_surplus_fields(spark, tmpdir_fresh, multi_line):
+    from prioscope.sources.tickets import surplus_rows
+    _write(os.path.join(tmpdir_fresh, "a.csv"), "Ticket ID,priority,description\n1,Low,printer slow\n7,Low,too,many\n")
+    _write(os.path.join(tmpdir_fresh, "b.csv"), "Ticket ID,description,priority\n2,server down,High\n3,short row\n")
+    _write(os.path.join(tmpdir_fresh, "c.csv"), "Ticket ID,description\n4,no priority here\n")
+    got = rows(read_tickets(spark, tmpdir_fresh, multi_line=multi_line), "ticket_id", "priority", "description")
+    assert sorted(got) == [("1", "Low", "printer slow"), ("2", "High", "server down"), ("3", None, "short row"), ("4", None, "no priority here")]
+    assert rows(surplus_rows(spark, tmpdir_fresh, multi_line)) == [("7", "many")]
+    kept = read_tickets(spark, tmpdir_fresh, multi_line=multi_line, surplus="keep")
+    assert kept.count() == 5 and rows(kept.where("ticket_id = 7"), "description") == [("too",)]
+
+
 def test_id_format_wider_than_five_digits(spark):
     from prioscope.operators.ids import ticket_id_from_position
     df = spark.createDataFrame([(7,), (123456,)], "pos long")
