@@ -42,8 +42,11 @@ DIM = 24
 HEAD = 200_000
 ROUNDS = 3
 BATCH = 4096
-NOISE = 64
-RATE = 0.25
+NOISE = 25
+RATE = 0.1
+#: Words a task counts, and averages that one task merges, before they move on.
+COUNT_WORDS = 300_000
+MERGERS = 32
 #: What a batch of documents holds before it is scored or learnt from, in tokens.
 STEP = 1 << 18
 
@@ -58,16 +61,28 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``word, n`` over all tokens of ``docs``; tasks count a batch before anything is shuffled."""
+    """``word, n`` over all tokens of ``docs``; a task counts up to COUNT_WORDS words before it
+    hands them on."""
+    find_package(docs.sparkSession)
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
-    def run(c):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        for t in c["text"]:
-            for w in tokens_of(t):
-                seen[w] = seen.get(w, 0) + 1
-        return {"word": list(seen), "n": list(seen.values())}
 
-    rows = arrow_map(docs.select(F.col(text_col).alias("text")), run, "word binary, n long")
+        def counted():
+            return pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())}, schema=schema)
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                for w in tokens_of(t):
+                    seen[w] = seen.get(w, 0) + 1
+                if len(seen) > COUNT_WORDS:
+                    yield counted()
+                    seen = {}
+        if seen:
+            yield counted()
+
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -119,7 +134,7 @@ class Model:
         for x, g, s in zip(self.parts(), (gQ, gP, gC, gb), state):
             g /= n
             s += g * g
-            x += RATE * 0.2 * g / np.sqrt(s)
+            x += RATE * g / np.sqrt(s)
 
     def state(self) -> list[np.ndarray]:
         return [np.full_like(x, 1e-6) for x in self.parts()]
@@ -194,11 +209,21 @@ def _train_pass(docs: DataFrame, vocabulary, start: np.ndarray, noise: np.ndarra
             yield pa.RecordBatch.from_pydict({"n": [total], "flat": [model.flat().astype("<f4").tobytes()]},
                                              schema=pa.schema([("n", pa.int64()), ("flat", pa.binary())]))
 
-    sums, n = np.zeros(len(start)), 0
-    for r in docs.mapInArrow(run, "n long, flat binary").toLocalIterator():
-        sums += np.frombuffer(r["flat"], "<f4").astype(np.float64) * r["n"]
-        n += r["n"]
-    return (sums / n if n else start), n
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = None, 0
+        for batch in batches:
+            for k, flat in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(flat, "<f4").astype(np.float64) * k
+                sums, n = (x if sums is None else sums + x), n + k
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": [n], "flat": [(sums / n).astype("<f4").tobytes()]},
+                                             schema=pa.schema([("n", pa.int64()), ("flat", pa.binary())]))
+
+    made = materialize(docs.mapInArrow(run, "n long, flat binary"), "model")
+    # averages of averages: at most MERGERS rows of fixed size reach the driver
+    rows = sorted(made.repartition(MERGERS).mapInArrow(merge, "n long, flat binary").collect(), key=lambda r: (r["n"], bytes(r["flat"])))
+    n = sum(r["n"] for r in rows)
+    return (sum(np.frombuffer(r["flat"], "<f4").astype(np.float64) * r["n"] for r in rows) / n if n else start), n
 
 
 class LanguageModel:
