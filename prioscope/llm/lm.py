@@ -42,8 +42,8 @@ DIM = 24
 HEAD = 200_000
 ROUNDS = 3
 BATCH = 4096
-NOISE = 25
-RATE = 0.1
+NOISE = 40
+RATE = 0.05
 #: Words a task counts, and averages that one task merges, before they move on.
 COUNT_WORDS = 300_000
 MERGERS = 32
