@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from prioscope.session import materialize
 
+#: Buckets with several members whose smallest ids are broadcast at most (16 bytes each).
+BROADCAST_BUCKETS = 1 << 20
+
 
 def _state(e: DataFrame) -> tuple:
     r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -54,8 +57,10 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     the same components as from all pairs, while a group of near copies costs one link each.
     ``candidate(x, y)`` is an optional cheap necessary condition on the two ids.
     """
-    sizes = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    kept = materialize(members.join(sizes.select("bucket", "low"), "bucket").select("bucket", "id", "low"), "buckets")
+    shared = members.groupBy("bucket").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lows = materialize(shared.select("bucket", "low"), "lows")
+    lows = F.broadcast(lows) if lows.count() <= BROADCAST_BUCKETS else lows
+    kept = materialize(members.join(lows, "bucket").select("bucket", "id", "low"), "buckets")
     star = kept.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
     if candidate is not None:
         star = star.where(candidate(F.col("a"), F.col("b")))

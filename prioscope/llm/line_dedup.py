@@ -8,9 +8,11 @@ and whose signatures agree in half of their places are verified by the exact Jac
 similarity of their shingle sets, and a distributed union-find makes components, in each of
 which one line stays: the first by document id and line number.
 
-Shingles are exploded and folded into minima within the task that reads the line, so they
-are never shuffled. Texts of lines are looked up only for lines that met another; that list
-of ids is broadcast while it is small (its size is counted) and shuffled beyond that.
+Lines are cut and written once. Shingles are folded into minima within the task that reads
+the line, so they are never shuffled. Texts are looked up only for lines that met another;
+that list of ids is broadcast while it is small (its size is counted) and shuffled beyond
+that. The pairs are then dealt out by the number of their shingles, and each pair's two sets
+are counted within its task.
 
 Defined results: null texts have no lines and stay null; empty and blank lines are kept and
 never compared; a row without id counts after all others; rows that repeat an id are copies
@@ -40,6 +42,13 @@ MIN_AGREE = 6
 #: Line ids that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1 << 20
 
+#: Shingles of a line that one row holds while signatures are made.
+BLOCK = 8
+#: Shingles that one task compares when texts are verified, while there are no more tasks
+#: than ``MAX_TASKS`` (beyond that a task takes more and its sets spill).
+SHINGLES_A_TASK = 1 << 21
+MAX_TASKS = 20_000
+
 _STEP = 2 * SHINGLE  # bytes of a shingle in UTF-16
 
 
@@ -54,17 +63,17 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _hashes(units: str) -> str:
-    """SQL: array of the distinct shingle hashes of a UTF-16 binary."""
-    return f"array_distinct(transform(sequence(1, greatest(1, octet_length({units}) - {_STEP - 1}), 2), i -> xxhash64(substring({units}, i, {_STEP}))))"
-
-
 def signatures(all_lines: DataFrame) -> DataFrame:
-    """``id, m0, m1, ...``: digest of each distinct line and its least shingle hash under each mask."""
+    """``id, n, m0, m1, ...``: digest of each distinct line, the number of its shingles and
+    their least hash under each mask. A row holds a block of shingles, of which the least is
+    taken before the rows are grouped; the last block repeats the last shingle."""
     units = all_lines.select("h1", F.encode("line", "UTF-16BE").alias("units"))
-    at = units.select("h1", "units", F.expr(f"explode(sequence(1, greatest(1, octet_length(units) - {_STEP - 1}), 2))").alias("i"))
-    shingle = at.select(F.col("h1").alias("id"), F.expr(f"xxhash64(substring(units, i, {_STEP}))").alias("h"))
-    return shingle.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks())])
+    sized = units.select("h1", "units", F.expr(f"greatest(1, octet_length(units) - {_STEP - 1})").alias("last"))
+    at = sized.select(F.col("h1").alias("id"), "units", "last", F.expr(f"explode(sequence(1, last, {2 * BLOCK}))").alias("i"))
+    hashed = at.select("id", "last", *[F.expr(f"xxhash64(substring(units, least(i + {2 * j}, last), {_STEP}))").alias(f"h{j}") for j in range(BLOCK)])
+    least = hashed.select("id", "last", *[F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(BLOCK)]).alias(f"m{i}")
+                                          for i, m in enumerate(_masks())])
+    return least.groupBy("id").agg(((F.max("last") + 1) / 2).cast("int").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(MASKS)])
 
 
 def bands(signed: DataFrame) -> DataFrame:
@@ -79,42 +88,52 @@ def _wanted(pairs: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _similar(both: DataFrame, parts: int) -> DataFrame:
+    """``a, b`` of the rows ``a, b, x, y`` whose texts ``x`` and ``y`` have Jaccard similarity
+    of shingles ``MIN_JACCARD`` or more. Rows of a pair stay in one of ``parts`` partitions."""
+    dealt = both.repartition(parts, "a", "b")
+    side = dealt.select("a", "b", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.encode("x", "UTF-16BE").alias("units")),
+                                                   F.struct(F.lit(2).alias("side"), F.encode("y", "UTF-16BE").alias("units")))))
+    at = side.select("a", "b", "side", "units", F.expr(f"explode(sequence(1, greatest(1, octet_length(units) - {_STEP - 1}), 2))").alias("i"))
+    shingle = at.select("a", "b", "side", F.expr(f"xxhash64(substring(units, i, {_STEP}))").alias("h"))
+    sides = shingle.groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
+    sums = sides.groupBy("a", "b").agg(F.count(F.lit(1)).alias("any"), F.sum((F.col("sides") == 3).cast("int")).alias("common"))
+    return sums.where(F.col("common") >= MIN_JACCARD * F.col("any")).select("a", "b")
+
+
 def line_components(all_lines: DataFrame) -> DataFrame:
     """``node, component`` over the digests of distinct lines that have a near copy."""
     signed = materialize(signatures(all_lines), "signatures")
-    places = [f"m{i}" for i in range(MASKS)]
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
         some = signed.join(_wanted(pairs), "id")
-        x, y = some.toDF("a", *[f"x{i}" for i in range(MASKS)]), some.toDF("b", *[f"y{i}" for i in range(MASKS)])
-        agree = sum((F.col(f"x{i}") == F.col(f"y{i}")).cast("int") for i in range(len(places)))
-        pairs = materialize(pairs.join(x, "a").join(y, "b").where(agree >= MIN_AGREE).select("a", "b"), "pairs")
+        x, y = (some.toDF(at, f"n{at}", *[f"{at}{i}" for i in range(MASKS)]) for at in ("a", "b"))
+        agree = sum((F.col(f"a{i}") == F.col(f"b{i}")).cast("int") for i in range(MASKS))
+        met = pairs.join(x, "a").join(y, "b").where(agree >= MIN_AGREE)
+        pairs = materialize(met.select("a", "b", (F.col("na") + F.col("nb")).cast("long").alias("n")), "pairs")
+        parts = -(-(pairs.agg(F.sum("n")).first()[0] or 1) // SHINGLES_A_TASK)
         wanted = _wanted(pairs)
         texts = materialize(all_lines.join(wanted, all_lines.h1 == wanted.id).select("id", "line").dropDuplicates(["id"]), "texts")
-        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-        both = both.select("a", "b", F.encode("x", "UTF-16BE").alias("x"), F.encode("y", "UTF-16BE").alias("y"))
-        # one-row generators: a filter pushed through a projection would build the sets again
-        # for every use of them
-        sets = both.select(F.inline(F.array(F.struct("a", "b", F.expr(_hashes("x")).alias("x"), F.expr(_hashes("y")).alias("y")))))
-        sizes = sets.select(F.inline(F.array(F.struct("a", "b", F.size("x").alias("x"), F.size("y").alias("y"),
-                                                      F.size(F.array_intersect("x", "y")).alias("common")))))
-        return sizes.where(F.col("common") >= MIN_JACCARD * (F.col("x") + F.col("y") - F.col("common"))).select("a", "b")
+        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return _similar(both, min(parts, MAX_TASKS))
 
     return bucket_components(bands(signed), verify)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, pos`` of every line that goes: not the first of its component."""
-    all_lines = lines(docs, id_col, text_col)
+    all_lines = materialize(lines(docs, id_col, text_col), "lines")
     comp = line_components(all_lines)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos")
-    first = all_lines.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    named = first.join(comp, first.h1 == comp.node, "left")
-    # a line without near copies is its own component, told apart by both digests
+    first = all_lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    # a line without near copies is its own component, told apart by both digests; one that
+    # is not repeated either stays
+    named = first.join(comp, first.h1 == comp.node, "left").where("n > 1 or component is not null")
     group = [F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2")]
-    kept = named.select(*group, "first").groupBy("c1", "c2").agg(F.min("first").alias("kept"))
-    stays = named.select("h1", "h2", *group).join(kept, ["c1", "c2"]).select("h1", "h2", "kept")
+    named = materialize(named.select("h1", "h2", *group, "first"), "named")
+    kept = named.groupBy("c1", "c2").agg(F.min("first").alias("kept"))
+    stays = named.join(kept, ["c1", "c2"]).select("h1", "h2", "kept")
     return (all_lines.select("doc_id", "pos", "h1", "h2").join(stays, ["h1", "h2"])
             .where(~(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos").eqNullSafe(F.col("kept"))))
             .select("doc_id", "pos"))
