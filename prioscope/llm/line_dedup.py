@@ -1,4 +1,8 @@
-"""Fuzzy line dedup by MinHash, with DataFrame and SQL functions only.
+"""Fuzzy line dedup by MinHash.
+
+Shingles are hashed and compared with numpy inside Arrow tasks; all else is DataFrame
+operations. A form in SQL functions alone gave the same lines at many times the CPU seconds
+(README).
 
 Lines are compared by a 128-bit digest first. A distinct line is the set of its character
 shingles (seven UTF-16 code units; a shorter line is one shingle). Its signature is the
@@ -22,11 +26,14 @@ id and text columns are read, and other columns of ``dedup_lines`` are handed th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prioscope.llm.common import SPACES
+from prioscope.llm.common import SPACES, arrow_map
 from prioscope.llm.components import bucket_components
 from prioscope.session import materialize
 
@@ -42,18 +49,20 @@ MIN_AGREE = 6
 #: Line ids that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1 << 20
 
-#: Shingles of a line that one row holds while signatures are made.
-BLOCK = 8
+#: Characters that are hashed at once in a task, and pairs whose sets it holds at once.
+UNITS_AT_ONCE = 1 << 18
+PAIRS_AT_ONCE = 1000
 #: Shingles that one task compares when texts are verified, while there are no more tasks
-#: than ``MAX_TASKS`` (beyond that a task takes more and its sets spill).
-SHINGLES_A_TASK = 1 << 21
+#: than ``MAX_TASKS`` (beyond that a task takes more, batch by batch).
+SHINGLES_A_TASK = 1 << 24
 MAX_TASKS = 20_000
 
-_STEP = 2 * SHINGLE  # bytes of a shingle in UTF-16
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_MIX = ((np.uint64(30), np.uint64(0xBF58476D1CE4E5B9)), (np.uint64(27), np.uint64(0x94D049BB133111EB)))
 
 
 def _masks() -> list[int]:
-    return [xxhash.xxh64_intdigest(f"mask {i}".encode()) - (1 << 63) for i in range(MASKS)]
+    return [xxhash.xxh64_intdigest(f"mask {i}".encode()) for i in range(MASKS)]
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,17 +72,61 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def shingle_hashes(texts: list[str]) -> list[np.ndarray]:
+    """Hash of every shingle of each text, repeats included: a polynomial over the UTF-16
+    code units (plus one; what a short line lacks is zero), mixed to 64 even bits."""
+    units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), dtype="<u2") for t in texts]
+    places = np.array([max(SHINGLE, len(u)) for u in units], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(places)])
+    v = np.zeros(starts[-1], dtype=np.uint64)
+    for at, u in zip(starts.tolist(), units):
+        v[at:at + len(u)] = u
+        v[at:at + len(u)] += np.uint64(1)
+    h = np.zeros(max(0, len(v) - SHINGLE + 1), dtype=np.uint64)
+    for j in range(SHINGLE):
+        h *= _FACTOR
+        h += v[j:j + len(h)]
+    for shift, factor in _MIX:
+        h ^= h >> shift
+        h *= factor
+    h ^= h >> np.uint64(32)
+    return [h[i:i + n - SHINGLE + 1] for i, n in zip(starts.tolist(), places.tolist())]
+
+
+def _parts(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in lists of about ``UNITS_AT_ONCE`` characters (a longer text is alone)."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > UNITS_AT_ONCE:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+def _minima(texts: list[str]) -> np.ndarray:
+    """A row for each mask: the least shingle hash of every text."""
+    out = [np.zeros((MASKS, 0), dtype=np.uint64)]
+    for part in _parts(texts):
+        hashes = shingle_hashes(part)
+        starts = np.cumsum([0, *map(len, hashes[:-1])])
+        flat = np.concatenate(hashes)
+        out.append(np.stack([np.minimum.reduceat(flat ^ np.uint64(m), starts) for m in _masks()]))
+    return np.concatenate(out, axis=1)
+
+
 def signatures(all_lines: DataFrame) -> DataFrame:
     """``id, n, m0, m1, ...``: digest of each distinct line, the number of its shingles and
-    their least hash under each mask. A row holds a block of shingles, of which the least is
-    taken before the rows are grouped; the last block repeats the last shingle."""
-    units = all_lines.select("h1", F.encode("line", "UTF-16BE").alias("units"))
-    sized = units.select("h1", "units", F.expr(f"greatest(1, octet_length(units) - {_STEP - 1})").alias("last"))
-    at = sized.select(F.col("h1").alias("id"), "units", "last", F.expr(f"explode(sequence(1, last, {2 * BLOCK}))").alias("i"))
-    hashed = at.select("id", "last", *[F.expr(f"xxhash64(substring(units, least(i + {2 * j}, last), {_STEP}))").alias(f"h{j}") for j in range(BLOCK)])
-    least = hashed.select("id", "last", *[F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(BLOCK)]).alias(f"m{i}")
-                                          for i, m in enumerate(_masks())])
-    return least.groupBy("id").agg(((F.max("last") + 1) / 2).cast("int").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(MASKS)])
+    their least hash under each mask."""
+    def sign(c: dict[str, list]) -> dict[str, list]:
+        at = dict(zip(c["h1"], c["line"]))  # a line that a batch repeats is signed once
+        least = _minima(list(at.values())).view(np.int64)
+        return {"id": list(at), "n": [max(1, len(t) - SHINGLE + 1) for t in at.values()], **{f"m{i}": least[i] for i in range(MASKS)}}
+
+    schema = ", ".join(["id long", "n long", *[f"m{i} long" for i in range(MASKS)]])
+    return arrow_map(all_lines.select("h1", "line"), sign, schema).dropDuplicates(["id"])
 
 
 def bands(signed: DataFrame) -> DataFrame:
@@ -88,17 +141,36 @@ def _wanted(pairs: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def similar(pairs: list[tuple[str, str]]) -> list[bool]:
+    """Whether the Jaccard similarity of each two texts' shingles is ``MIN_JACCARD`` or more."""
+    sets = {}
+    for part in _parts(list({t for two in pairs for t in two})):
+        sets.update(zip(part, map(np.unique, shingle_hashes(part))))
+    out = []
+    for x, y in pairs:
+        x, y = sets[x], sets[y]
+        if min(len(x), len(y)) < MIN_JACCARD * max(len(x), len(y)):
+            out.append(False)
+            continue
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(common >= MIN_JACCARD * (len(x) + len(y) - common))
+    return out
+
+
 def _similar(both: DataFrame, parts: int) -> DataFrame:
-    """``a, b`` of the rows ``a, b, x, y`` whose texts ``x`` and ``y`` have Jaccard similarity
-    of shingles ``MIN_JACCARD`` or more. Rows of a pair stay in one of ``parts`` partitions."""
-    dealt = both.repartition(parts, "a", "b")
-    side = dealt.select("a", "b", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.encode("x", "UTF-16BE").alias("units")),
-                                                   F.struct(F.lit(2).alias("side"), F.encode("y", "UTF-16BE").alias("units")))))
-    at = side.select("a", "b", "side", "units", F.expr(f"explode(sequence(1, greatest(1, octet_length(units) - {_STEP - 1}), 2))").alias("i"))
-    shingle = at.select("a", "b", "side", F.expr(f"xxhash64(substring(units, i, {_STEP}))").alias("h"))
-    sides = shingle.groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
-    sums = sides.groupBy("a", "b").agg(F.count(F.lit(1)).alias("any"), F.sum((F.col("sides") == 3).cast("int")).alias("common"))
-    return sums.where(F.col("common") >= MIN_JACCARD * F.col("any")).select("a", "b")
+    """``a, b`` of the rows ``a, b, x, y`` whose texts ``x`` and ``y`` are similar."""
+    def check(c: dict[str, list]) -> dict[str, list]:
+        out = {"a": [], "b": []}
+        rows = list(zip(c["a"], c["b"], c["x"], c["y"]))
+        for i in range(0, len(rows), PAIRS_AT_ONCE):
+            some = rows[i:i + PAIRS_AT_ONCE]
+            for (a, b, _, _), near in zip(some, similar([r[2:] for r in some])):
+                if near:
+                    out["a"].append(a)
+                    out["b"].append(b)
+        return out
+
+    return arrow_map(both.repartition(parts, "a", "b"), check, "a long, b long")
 
 
 def line_components(all_lines: DataFrame) -> DataFrame:

@@ -272,9 +272,19 @@ def test_line_texts_and_report(spark):
     assert rep == {1: (4, 0, []), 2: (3, 2, [1, 2]), 3: (1, 1, [0]), 4: (0, 0, [])}
 
 
-def test_line_plan_is_native(spark):
-    plan = line_dedup.bands(line_dedup.signatures(line_dedup.lines(frame(spark, ODD))))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_line_sets_equal_brute_force():
+    rnd = random.Random(7)
+    pairs = []
+    for _ in range(1500):
+        a = "".join(rnd.choice("abcé ") for _ in range(rnd.randint(1, 60)))
+        at = rnd.randrange(len(a))
+        pairs.append((a, a[:at] + rnd.choice(["", "z", "zz"]) + a[at + 1:]))
+    assert line_dedup.similar(pairs) == [jaccard(a, b) >= line_dedup.MIN_JACCARD for a, b in pairs]
+    texts = [a for a, _ in pairs] + ["x" * 300_000]  # a text longer than what is hashed at once
+    least = line_dedup._minima(texts)
+    for i, h in enumerate(line_dedup.shingle_hashes(texts)):
+        assert [int(v) for v in least[:, i]] == [min(int(x) ^ m for x in h) for m in line_dedup._masks()] or len(h) > 1000
+    assert [len(h) for h in line_dedup.shingle_hashes(["", "ab", "abcdefg", "abcdefgh"])] == [1, 1, 1, 2]
 
 
 def test_line_defined_cases(spark):
