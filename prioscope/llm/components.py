@@ -16,6 +16,11 @@ from prioscope.session import materialize
 #: Buckets with several members whose smallest ids are broadcast at most (16 bytes each).
 BROADCAST_BUCKETS = 1 << 20
 
+#: Pairs a member of a bucket may have left, on average, before all of them are verified, and
+#: links for each row that a round must give for another one.
+FEW_PAIRS = 8
+LEAST_GAIN = 0.01
+
 
 def _state(e: DataFrame) -> tuple:
     r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -53,8 +58,11 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     ``members`` has ``bucket`` and ``id`` (a row may sit in many buckets). ``verify`` turns
     distinct pairs ``(a, b)`` into those that are links. Round one verifies each member
     against the smallest id of its bucket. Two rows already in one component need no
-    further check, so round two takes only the pairs of a bucket whose components differ:
-    the same components as from all pairs, while a group of near copies costs one link each.
+    further check, so later rounds take only the pairs of a bucket whose components differ:
+    the same components as from all pairs, while a group of near copies costs a few links
+    each. While a bucket has many such pairs for its size, its members are verified against
+    one of them at a time, picked by a hash; a round that links almost nothing ends this, and
+    all pairs that are left are verified.
     ``candidate(x, y)`` is an optional cheap necessary condition on the two ids.
     """
     shared = members.groupBy("bucket").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -65,11 +73,28 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     if candidate is not None:
         star = star.where(candidate(F.col("a"), F.col("b")))
     links = materialize(verify(star.distinct()), "links")
-    comp = connected_components(links)
-    named = kept.join(comp, kept.id == comp.node, "left").select(
-        "bucket", "id", "low", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    left = materialize(named.join(mixed, "bucket"), "mixed")
+    turn = 0
+    while True:
+        comp = connected_components(links)
+        named = kept.join(comp, kept.id == comp.node, "left").select(
+            "bucket", "id", "low", F.coalesce("component", "id").alias("c"))
+        sizes = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        mixed = sizes.where("n * n > same").select("bucket", (F.col("n") * F.col("n") - F.col("same") > 2 * FEW_PAIRS * F.col("n")).alias("dense"))
+        left = materialize(named.join(mixed, "bucket"), "mixed")
+        dense = left.where("dense")
+        rows = dense.count()
+        if not rows:
+            break
+        turn += 1
+        centre = dense.groupBy("bucket").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("m"))
+        met = dense.join(centre, "bucket").where("c <> m.c").select(F.least("m.id", "id").alias("a"), F.greatest("m.id", "id").alias("b"))
+        if candidate is not None:
+            met = met.where(candidate(F.col("a"), F.col("b")))
+        more = materialize(verify(met.distinct()), "links")
+        links = links.union(more)
+        if more.count() < LEAST_GAIN * rows:
+            break
     x, y = left.alias("x"), left.alias("y")
     cond = ((F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
             & (F.col("x.id") != F.col("x.low")))  # pairs with the bucket's smallest id are done
