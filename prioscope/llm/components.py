@@ -19,7 +19,7 @@ BROADCAST_BUCKETS = 1 << 20
 #: Pairs a member of a bucket may have left, on average, before all of them are verified, and
 #: links for each row that a round must give for another one.
 FEW_PAIRS = 8
-LEAST_GAIN = 0.01
+LEAST_GAIN = 0.05
 
 
 def _state(e: DataFrame) -> tuple:
