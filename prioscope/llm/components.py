@@ -21,6 +21,12 @@ BROADCAST_BUCKETS = 1 << 20
 FEW_PAIRS = 8
 LEAST_GAIN = 0.05
 
+#: Members of a dense bucket that are compared with each other in a round, on average.
+GROUP = 8
+
+#: Power of the weight by which a bucket's centre is chosen.
+CENTRE_POWER = 4
+
 
 def _state(e: DataFrame) -> tuple:
     r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -52,7 +58,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], candidate=None) -> DataFrame:
+def _pick(turn: int):
+    """Order in which a bucket's members are preferred as its centre: a random choice, weighted
+    by the rows that a member meets in all its buckets (the middle of a group meets most)."""
+    u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(turn)), 11) + 1) / F.lit(float(1 << 53))
+    return F.log(u) / F.pow("weight", F.lit(CENTRE_POWER))
+
+
+def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], candidate=None, sketch: str = "id") -> DataFrame:
     """Components of the links among rows that share a bucket, without listing all pairs.
 
     ``members`` has ``bucket`` and ``id`` (a row may sit in many buckets). ``verify`` turns
@@ -61,45 +74,50 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     further check, so later rounds take only the pairs of a bucket whose components differ:
     the same components as from all pairs, while a group of near copies costs a few links
     each. While a bucket has many such pairs for its size, its members are verified against
-    one of them at a time, picked by a hash; a round that links almost nothing ends this, and
-    all pairs that are left are verified.
-    ``candidate(x, y)`` is an optional cheap necessary condition on the two ids.
+    one of them at a time (see ``_pick``) and within small groups dealt by a hash, so a group
+    whose members are similar to some others only is joined up by a few pairs each as well; a
+    round that links almost nothing ends this, and all pairs that are left are verified.
+    ``candidate(x, y)`` is an optional cheap necessary condition on the two rows' ``sketch``, a
+    column of ``members``; pairs that fail it are never written.
     """
-    shared = members.groupBy("bucket").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    carried = list(dict.fromkeys(["id", sketch]))
+    passes = candidate or (lambda x, y: F.lit(True))
+    shared = members.groupBy("bucket").agg(F.min(F.struct(*carried)).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     lows = materialize(shared.select("bucket", "low"), "lows")
     lows = F.broadcast(lows) if lows.count() <= BROADCAST_BUCKETS else lows
-    kept = materialize(members.join(lows, "bucket").select("bucket", "id", "low"), "buckets")
-    star = kept.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    if candidate is not None:
-        star = star.where(candidate(F.col("a"), F.col("b")))
-    links = materialize(verify(star.distinct()), "links")
+    kept = materialize(members.join(lows, "bucket").select("bucket", *carried, "low"), "buckets")
+    star = kept.where((F.col("id") != F.col("low.id")) & passes(F.col(f"low.{sketch}"), F.col(sketch)))
+    links = materialize(verify(star.select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct()), "links")
     turn = 0
     while True:
         comp = connected_components(links)
         named = kept.join(comp, kept.id == comp.node, "left").select(
-            "bucket", "id", "low", F.coalesce("component", "id").alias("c"))
+            "bucket", *carried, F.col("low.id").alias("low"), F.coalesce("component", "id").alias("c"))
         sizes = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        mixed = sizes.where("n * n > same").select("bucket", (F.col("n") * F.col("n") - F.col("same") > 2 * FEW_PAIRS * F.col("n")).alias("dense"))
+        mixed = sizes.where("n * n > same").select("bucket", "n", (F.col("n") * F.col("n") - F.col("same") > 2 * FEW_PAIRS * F.col("n")).alias("dense"))
         left = materialize(named.join(mixed, "bucket"), "mixed")
         dense = left.where("dense")
         rows = dense.count()
         if not rows:
             break
         turn += 1
-        centre = dense.groupBy("bucket").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("m"))
-        met = dense.join(centre, "bucket").where("c <> m.c").select(F.least("m.id", "id").alias("a"), F.greatest("m.id", "id").alias("b"))
-        if candidate is not None:
-            met = met.where(candidate(F.col("a"), F.col("b")))
+        dense = dense.join(dense.groupBy("id").agg(F.sum("n").cast("double").alias("weight")), "id")
+        centre = dense.groupBy("bucket").agg(F.max_by(F.struct(*carried, "c"), _pick(turn)).alias("m"))
+        met = dense.join(centre, "bucket").where((F.col("c") != F.col("m.c")) & passes(F.col(f"m.{sketch}"), F.col(sketch)))
+        met = met.select(F.least("m.id", "id").alias("a"), F.greatest("m.id", "id").alias("b"))
+        dealt = dense.withColumn("sub", F.pmod(F.xxhash64("id", F.lit(-turn)), F.ceil(F.col("n") / GROUP)))
+        few = dealt.alias("x").join(dealt.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.sub") == F.col("y.sub"))
+                                    & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & passes(F.col(f"x.{sketch}"), F.col(f"y.{sketch}")))
+        met = met.union(few.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
         more = materialize(verify(met.distinct()), "links")
         links = links.union(more)
         if more.count() < LEAST_GAIN * rows:
             break
     x, y = left.alias("x"), left.alias("y")
     cond = ((F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
-            & (F.col("x.id") != F.col("x.low")))  # pairs with the bucket's smallest id are done
-    if candidate is not None:
-        cond = cond & candidate(F.col("x.id"), F.col("y.id"))
+            & (F.col("x.id") != F.col("x.low"))  # pairs with the bucket's smallest id are done
+            & passes(F.col(f"x.{sketch}"), F.col(f"y.{sketch}")))
     rest = x.join(y, cond).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = materialize(verify(rest), "links")
     return connected_components(links.union(more))

@@ -22,8 +22,10 @@ id and text columns are read, and other columns of ``dedup_lines`` are handed th
 
 from __future__ import annotations
 
+from functools import reduce
+
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prioscope.llm.common import SPACES
@@ -39,6 +41,8 @@ BANDS = ((0, 2, 5), (4, 6, 11), (3, 8, 9), (1, 4, 10), (5, 7, 9), (2, 7, 10),
 #: Signature places in which a pair must agree before its texts are compared: at similarity
 #: 0.8 a pair has six of twelve or more with probability 0.996 (0.85: 0.9997).
 MIN_AGREE = 6
+#: Bits of a signature place by which agreement is judged; six places fit a long.
+SKETCH_BITS = 10
 #: Line ids that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1 << 20
 
@@ -77,9 +81,25 @@ def signatures(all_lines: DataFrame) -> DataFrame:
 
 
 def bands(signed: DataFrame) -> DataFrame:
-    """``bucket, id``: band values of every signature."""
+    """``bucket, id, sketch``: band values of every signature, and ``SKETCH_BITS`` bits of each
+    of its places in two longs."""
     keys = [F.xxhash64(F.lit(i), *[f"m{j}" for j in band]) for i, band in enumerate(BANDS)]
-    return signed.select(F.explode(F.array(*keys)).alias("bucket"), "id")
+    bits = [F.col(f"m{i}").bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)) for i in range(MASKS)]
+    halves = [reduce(Column.bitwiseOR, [F.shiftleft(b, SKETCH_BITS * i) for i, b in enumerate(bits[at::2])]).alias(f"s{at}") for at in (0, 1)]
+    keyed = signed.select(F.array(*keys).alias("keys"), "id", F.struct(*halves).alias("sketch"))
+    return keyed.select(F.explode("keys").alias("bucket"), "id", "sketch")
+
+
+def agreeing(x: Column, y: Column) -> Column:
+    """Whether two sketches agree in ``MIN_AGREE`` places: all pairs whose signatures do, and
+    few others (a differing place agrees here once in 2 ** SKETCH_BITS)."""
+    ones = sum(1 << SKETCH_BITS * i for i in range(MASKS // 2))
+    differ = []
+    for half in ("s0", "s1"):
+        d = x[half].bitwiseXOR(y[half])
+        folded = reduce(Column.bitwiseOR, [F.shiftrightunsigned(d, i) for i in range(SKETCH_BITS)])
+        differ.append(F.bit_count(folded.bitwiseAND(F.lit(ones))))
+    return differ[0] + differ[1] <= MASKS - MIN_AGREE
 
 
 def _wanted(pairs: DataFrame) -> DataFrame:
@@ -107,18 +127,15 @@ def line_components(all_lines: DataFrame) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
-        some = signed.join(_wanted(pairs), "id")
-        x, y = (some.toDF(at, f"n{at}", *[f"{at}{i}" for i in range(MASKS)]) for at in ("a", "b"))
-        agree = sum((F.col(f"a{i}") == F.col(f"b{i}")).cast("int") for i in range(MASKS))
-        met = pairs.join(x, "a").join(y, "b").where(agree >= MIN_AGREE)
-        pairs = materialize(met.select("a", "b", (F.col("na") + F.col("nb")).cast("long").alias("n")), "pairs")
-        parts = -(-(pairs.agg(F.sum("n")).first()[0] or 1) // SHINGLES_A_TASK)
         wanted = _wanted(pairs)
         texts = materialize(all_lines.join(wanted, all_lines.h1 == wanted.id).select("id", "line").dropDuplicates(["id"]), "texts")
+        sizes = texts.select("id", F.length("line").cast("long").alias("n"))
+        n = pairs.select(F.explode(F.array("a", "b")).alias("id")).join(sizes, "id").agg(F.sum("n")).first()[0]
+        parts = -(-(n or 1) // SHINGLES_A_TASK)
         both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return _similar(both, min(parts, MAX_TASKS))
 
-    return bucket_components(bands(signed), verify)
+    return bucket_components(bands(signed), verify, agreeing, "sketch")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,11 +8,12 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from prioscope.llm import embedding_dedup, line_dedup, mixing, mtree, packing, queries, simhash
 from prioscope.llm.common import table
-from prioscope.llm.components import connected_components
+from prioscope.llm.components import bucket_components, connected_components
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, size string, piece string"
@@ -330,6 +331,33 @@ def test_mix_defined_cases(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
 
 
+def test_bucket_components_of_a_dense_bucket_equal_those_of_all_pairs(spark):
+    n, modulus = 120, 60  # few of a bucket's pairs are links, and none with its smallest id
+    members = spark.range(n).select(F.explode(F.array(F.lit(1), F.col("id") % 2 + 2)).alias("bucket"), F.col("id"), (F.col("id") * 3).alias("sketch"))
+    seen = []
+
+    def verify(pairs):
+        seen.append(pairs.count())
+        return pairs.where(f"a > 0 and (a * 7 + b * 11) % {modulus} = 5")
+
+    got = {r["node"]: r["component"] for r in bucket_components(members, verify, lambda x, y: F.abs(x - y) <= 3 * 90, "sketch").collect()}
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(1, n):
+        for b in range(a + 1, n):
+            if (a * 7 + b * 11) % modulus == 5 and b - a <= 90:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in range(n)}
+    sizes = {c: list(want.values()).count(c) for c in want.values()}
+    assert got == {i: c for i, c in want.items() if sizes[c] > 1} and len(seen) > 2
+
+
 # --- packing -------------------------------------------------------------------------------
 
 def best_fit(lengths, capacity):
