@@ -248,3 +248,29 @@ def test_substring_defined_cases(spark):
     assert by[1]["text"] is None and by[2]["text"] == "" and by[None]["text"] == "no id" and by[5]["text"] == "copy copy"
     assert len(by[6]["text"]) < 1000  # a long run of one letter repeats itself
     assert chunks.dedup_substrings(frame(spark, [])).collect() == []
+
+
+def test_every_passage_of_51_words_is_cut_to_its_ends(spark):
+    rnd = random.Random(51)
+    passages = [prose(rnd, 51) for _ in range(200)]
+    rows, where = [], {}
+    for i, p in enumerate(passages):
+        for k in (i, 1000 + i):
+            a, b = prose(rnd, 30), prose(rnd, 30)
+            rows.append((k, f"{a} {p} {b}"))
+            where[k] = (len(a) + 1, len(a) + 1 + len(p))
+    short = "a whole text of under 120 characters"
+    rows += [(3000, short), (3001, short)]
+    got = {r["doc_id"]: r for r in chunks.dedup_substrings(frame(spark, rows)).collect()}
+    text = dict(rows)
+    gone = total = 0
+    for i, p in enumerate(passages):
+        assert got[i]["text"] == text[i]
+        spans = [(s["start"], s["end"]) for s in got[1000 + i]["cut_spans"]]
+        a, b = where[1000 + i]
+        assert len(spans) == 1, i
+        (s, e), = spans
+        assert s < b and e > a and max(0, a - s) + max(0, e - b) <= 12  # a word that happens to be equal
+        gone, total = gone + min(e, b) - max(s, a), total + len(p)
+    assert gone >= 0.99 * total
+    assert got[3000]["text"] == short and got[3001]["text"] == ""
