@@ -5,7 +5,11 @@ strings near sensitive words: zstandard is primed with a dictionary made of comm
 identifiers and the code around the string, and the string's marginal compressed bytes
 (its frame less the empty frame) are measured. Ordinary identifiers and words of the
 surroundings are found in the dictionary and cost little; a string that costs almost a byte
-per character is incompressible there and is reported.
+per character is incompressible there and is reported. It is measured in pieces too short for
+entropy coding, so that a small alphabet (hex, base32, base64) does not make a long random
+string look compressible; what came before in the string primes each piece. Strings without
+a digit are measured in lower case as well, and those whose letter pairs are almost all
+pairs of the identifiers (words that are not in the dictionary) are not reported.
 
 Spans are code points, end exclusive, of the whole match. Defined results: a null text is
 empty, an empty text has no spans; repeated rows get equal results; very long texts are
@@ -36,12 +40,16 @@ STEMS = ("pass", "pwd", "secret", "token", "api", "credential", "auth", "bearer"
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase|code)|pwd|secret|token|api[ _-]?key|credential|authorization|bearer|private[ _-]?key|access[ _-]?key", re.ASCII | re.IGNORECASE)
 STRING = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: A string is a candidate if it starts at most REACH characters after a sensitive word, has
-#: MIN_NOVEL characters or more, and holds a digit and a letter.
+#: MIN_NOVEL characters or more, and holds a letter.
 REACH, MIN_NOVEL = 48, 16
 #: Characters of code on each side that prime the dictionary.
 AROUND = 400
-#: Marginal bytes per character from which a string counts as incompressible.
+#: Marginal bytes per character from which a string counts as incompressible, characters of a
+#: piece at most, and characters before a piece of a very long string that prime its dictionary.
 MIN_RATIO = 0.9
+PIECE, BEFORE = 32, 4096
+#: Share of letter pairs known from identifiers from which a string without a digit is words.
+WORDLIKE = 0.85
 
 IDENTIFIERS = """
 abstract access account action address algorithm application argument array async attribute authentication
@@ -74,6 +82,30 @@ def marginal_bytes(string: str, around: str) -> int:
     return len(pack.compress(string.encode("utf-8", "replace"))) - len(pack.compress(b""))
 
 
+PAIRS = frozenset(w[i:i + 2] for w in IDENTIFIERS.decode().split() for i in range(len(w) - 1) if w.isalpha())
+
+
+def incompressible(text: str, s: int, e: int, low: bool = False) -> bool:
+    """Whether the pieces of ``text[s:e]`` cost ``MIN_RATIO`` bytes a character in all; in lower
+    case, with its surroundings, if ``low``. Ends as soon as they cannot reach it."""
+    n = -(-(e - s) // PIECE)
+    edges = [s + (e - s) * i // n for i in range(n + 1)]
+    spare = (1 - MIN_RATIO) * (e - s)
+    cased = str.lower if low else str
+    for a, b in zip(edges, edges[1:]):
+        around = text[max(0, s - AROUND, a - BEFORE):a] + "\n" + text[e:e + AROUND]
+        spare -= (b - a) - marginal_bytes(cased(text[a:b]), cased(around))
+        if spare < -1e-9:
+            return False
+    return True
+
+
+def wordlike(string: str) -> bool:
+    low = string.lower()
+    pairs = [low[i:i + 2] for i in range(len(low) - 1) if low[i:i + 2].isalpha()]
+    return sum(p in PAIRS for p in pairs) >= WORDLIKE * len(pairs)
+
+
 def base_spans(text: str, low: str) -> list[tuple[int, int, str]]:
     out = []
     if "pass" in low or "secret" in low or "token" in low or "api" in low:
@@ -100,14 +132,16 @@ def novel_spans(text: str, low: str, taken: list[tuple[int, int, str]]) -> list[
             if e - s < MIN_NOVEL:
                 continue
             got = m.group()
-            if not (any(c.isdigit() for c in got) and any(c.isalpha() for c in got)):
+            if not any(c.isalpha() for c in got):
                 continue
             while at < len(taken) and taken[at][1] <= s:
                 at += 1
             if any(b < e and a > s for b, a, _ in taken[at:at + len(KINDS)]):
                 continue
-            around = text[max(0, s - AROUND):s] + "\n" + text[e:e + AROUND]
-            if marginal_bytes(got, around) >= MIN_RATIO * (e - s):
+            words = not any(c.isdigit() for c in got)
+            if words and wordlike(got):
+                continue
+            if incompressible(text, s, e) and not (words and not incompressible(text, s, e, low=True)):
                 out.append((s, e, "novel"))
     return out
 

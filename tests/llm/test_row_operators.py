@@ -75,6 +75,27 @@ def test_novelty_reports_incompressible_strings_only():
     assert secrets.scan(f"plain words {noise} without any hint")["n_novel"] == 0
 
 
+@pytest.mark.parametrize("name,alphabet", [
+    ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")])
+@pytest.mark.parametrize("length", [16, 24, 48, 64, 128, 344, 2000])
+def test_random_strings_of_any_alphabet_and_length_are_reported(name, alphabet, length):
+    rnd = random.Random(length)
+    code = "import client\nsession = client.Session(region='eu')\nheader = ('Bearer', '%s')\nresponse = session.get('/v1/customers', timeout=30)"
+    found = 0
+    for _ in range(60):
+        noise = "".join(rnd.choice(alphabet) for _ in range(length))
+        s = (code % noise).index(noise)
+        found += secrets.scan(code % noise)["spans"] == f"novel:{s}:{s + length}"
+    assert found >= 58
+
+
+def test_words_and_repeats_near_sensitive_words_are_not_novel():
+    for word in ("internationalization", "DATABASE_PASSWORD_PRODUCTION", "createAuthorizationHeaderFromSession", "usr/local/share/certificates",
+                 "0123456789ABCDEF" * 40, "aB3" * 500, "x" * 3000, "=" * 60):
+        assert secrets.scan(f"header = ('Bearer', '{word}')")["n_novel"] == 0, word
+
+
 def test_secret_defined_cases(spark):
     got = secrets.find_secrets(frame(spark, ODD)).collect()
     assert len(got) == len(ODD)
