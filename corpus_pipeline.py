@@ -34,12 +34,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest id."""
-    return simhash.keep_first(docs, simhash.near_dedup(docs))
+    """One row of each component stays, the one with the smallest id (null last)."""
+    return simhash.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(mixing.apply_mix(docs, mixing.mix(docs)))
+    return _counted(mixing.mixed(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

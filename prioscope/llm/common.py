@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prioscope.session import materialize
+
 #: The white space of the contracts: \x20 and \x09-\x0D, nothing else.
 SPACES = " \t\n\x0b\x0c\r"
 _SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
@@ -28,6 +30,11 @@ def find_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*filter(None, known), root])
 
 
+def numbered(df: DataFrame, name: str = "__row") -> DataFrame:
+    """``df`` written once with a number for each row: a key that holds for null and repeated ids."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` runs of a text; null and blank texts have none."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

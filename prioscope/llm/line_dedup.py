@@ -15,8 +15,9 @@ that. The pairs are then dealt out by the number of their shingles, and each pai
 are counted within its task.
 
 Defined results: null texts have no lines and stay null; empty and blank lines are kept and
-never compared; a row without id counts after all others; rows that repeat an id are copies
-of the same lines (all their copies of a kept line stay, as the place is the same); only the
+never compared; a row without id counts after all others; rows that repeat an id and a text
+are copies of the same lines (all their copies of a kept line stay, as the place is the same),
+while other texts of one id, or without id, have places of their own; only the
 id and text columns are read, and other columns of ``dedup_lines`` are handed through.
 """
 
@@ -61,10 +62,12 @@ def _masks() -> list[int]:
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, pos, line, h1, h2`` of every line that is not blank."""
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    """``doc_id, own, pos, line, h1, h2`` of every line that is not blank; ``own`` is the digest
+    of the text, which tells texts of one id apart."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text"))
+    cut = texts.select("doc_id", "own", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return cut.where(F.btrim("line", F.lit(SPACES)) != "").select(
-        "doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+        "doc_id", "own", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def signatures(all_lines: DataFrame) -> DataFrame:
@@ -139,10 +142,10 @@ def line_components(all_lines: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, pos`` of every line that goes: not the first of its component."""
+    """``doc_id, own, pos`` of every line that goes: not the first of its component."""
     all_lines = materialize(lines(docs, id_col, text_col), "lines")
     comp = line_components(all_lines)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos", "own")
     first = all_lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     # a line without near copies is its own component, told apart by both digests; one that
     # is not repeated either stays
@@ -151,16 +154,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = materialize(named.select("h1", "h2", *group, "first"), "named")
     kept = named.groupBy("c1", "c2").agg(F.min("first").alias("kept"))
     stays = named.join(kept, ["c1", "c2"]).select("h1", "h2", "kept")
-    return (all_lines.select("doc_id", "pos", "h1", "h2").join(stays, ["h1", "h2"])
-            .where(~(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos").eqNullSafe(F.col("kept"))))
-            .select("doc_id", "pos"))
+    return (all_lines.select("doc_id", "own", "pos", "h1", "h2").join(stays, ["h1", "h2"])
+            .where(~place.eqNullSafe(F.col("kept"))).select("doc_id", "own", "pos"))
+
+
+def _same_text(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> Column:
+    return docs[id_col].eqNullSafe(gone["__doc"]) & (F.xxhash64(docs[text_col]) == gone["__own"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its columns; near copies of earlier lines are gone from the texts, and
     documents of which every line went have an empty text."""
-    gone = removed_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__doc"]), "left")
+    gone = removed_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__doc"), F.col("own").alias("__own")).agg(F.collect_set("pos").alias("__gone"))
+    joined = docs.join(gone, _same_text(docs, gone, id_col, text_col), "left")
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
@@ -169,9 +175,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` of every row: the numbers (from 0) of the lines
     that go, in order."""
-    gone = removed_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("removed")).withColumnRenamed("doc_id", "__doc")
+    gone = removed_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__doc"), F.col("own").alias("__own")).agg(
+        F.sort_array(F.collect_set("pos")).alias("removed"))
     n = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0))
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n).alias("n_lines"))
+    counted = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("own"), F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n).alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return counted.join(gone, counted.doc_id.eqNullSafe(gone["__doc"]), "left").select(
+    return counted.join(gone, counted.doc_id.eqNullSafe(gone["__doc"]) & (counted.own == gone["__own"]), "left").select(
         "doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prioscope.llm.common import word_count
+from prioscope.llm.common import numbered, word_count
 from prioscope.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -48,12 +48,14 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, max_epochs: float = M
 
 
 def mix(docs: DataFrame, seed: int = 42, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row of ``docs``: how many words
-    of it the mix takes (whole epochs, then up to the cut). The driver sees one row per
-    source: the recipe itself."""
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for every row of ``docs``, and ``row_col``
+    if it is named: how many words of it the mix takes (whole epochs, then up to the cut). The
+    driver sees one row per source: the recipe itself."""
     spark = docs.sparkSession
+    rows_key = [row_col] if row_col else []
     narrow = materialize(docs.select(
+        *rows_key,
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("key"),
         F.xxhash64(text_col).alias("tie")), "mix")
@@ -63,30 +65,38 @@ def mix(docs: DataFrame, seed: int = 42, weights=WEIGHTS, max_epochs: int = MAX_
         [(i, s, sizes[s], float(goal[s])) for i, s in enumerate(sizes)],
         "sid int, src string, source_size long, target double")
     rows = narrow.join(recipe, narrow.src.eqNullSafe(recipe.src)).select(
-        "doc_id", "size", "key", "tie", "sid", "source_size", "target", F.substring("key", 1, RANGE_DIGITS).alias("range"))
+        *rows_key, "doc_id", "size", "key", "tie", "sid", "source_size", "target", F.substring("key", 1, RANGE_DIGITS).alias("range"))
     before = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("sid", "range").agg(F.sum("size").alias("n")).select(
         "sid", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("sid", "range").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "range").orderBy("key", "doc_id", "tie", *rows_key).rowsBetween(Window.unboundedPreceding, -1)
     budget = F.floor("target")
     epochs = F.coalesce(F.floor(F.try_divide(budget, F.col("source_size"))), F.lit(0))
     return (rows.join(offsets, ["sid", "range"])
             .withColumn("at", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
             .withColumn("epochs", epochs)
             .withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
-            .select("doc_id", "size", "source_size", "target",
+            .select(*rows_key, "doc_id", "size", "source_size", "target",
                     (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("at")))).cast("long").alias("taken")))
 
 
-def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Rows of ``docs`` as the mix takes them: one row per whole copy, and a last row whose
-    text ends at the cut word where a copy is taken in part. Ids must be unique."""
-    p = plan.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    text ends at the cut word where a copy is taken in part. Rows are found by ``row_col``;
+    without it by their ids, which must be unique then (null is one of them)."""
+    p = plan.where("taken > 0").select(F.col(row_col or "doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     part = F.col("__taken") - F.col("__copy") * F.col("__size")
     words = F.split(F.col(text_col), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # each with the white space after it
     leading = F.when(F.col(text_col).rlike(r"^[\x20\x09-\x0D]"), F.lit(1)).otherwise(F.lit(0))
     head = F.array_join(F.slice(words, F.lit(1), (part + leading).cast("int")), "")
-    got = docs.join(p, docs[id_col] == p["__id"]).withColumn(
+    got = docs.join(p, docs[row_col] == p["__id"] if row_col else docs[id_col].eqNullSafe(p["__id"])).withColumn(
         "__copy", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("__taken") / F.col("__size")) - 1).cast("int"))))
     cut = F.when(part < F.col("__size"), head).otherwise(F.col(text_col))
     return got.select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` as the mix takes them, whatever their ids: null and repeated ids are rows of their own."""
+    rows = numbered(docs)
+    plan = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col="__row")
+    return apply_mix(rows, plan, id_col, text_col, row_col="__row").select(docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prioscope.llm.common import arrow_map, words_of
+from prioscope.llm.common import arrow_map, numbered, words_of
 from prioscope.llm.components import bucket_components
 from prioscope.session import materialize
 
@@ -115,8 +115,15 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names their component; ``found`` as from ``near_dedup``.
-    Rows without id stay when no row with an id is in their component."""
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, n_pivots: int = PIVOTS,
+               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component of near copies: the one with the smallest id, rows
+    without id last; among rows of one id by the digest of the text. Each row counts for
+    itself, also when it repeats another or shares its id with another text."""
+    rows = numbered(docs)
+    found = near_dedup(rows, shingle, max_bits, n_pivots, "__row", text_col)
+    order = rows.select(F.col("__row").alias("row"), F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"),
+                                                              F.xxhash64(text_col).alias("tie"), "__row").alias("place"))
+    first = found.join(order, found.doc_id == order.row).groupBy("component_id").agg(F.min("place").alias("first"))
+    stays = first.select(F.col("first.__row").alias("__row"))
+    return rows.join(stays, "__row", "left_semi").select(docs.columns)

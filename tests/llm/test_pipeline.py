@@ -75,3 +75,36 @@ def test_run_writes_and_rereads(spark):
     out = P.run(spark, SF)
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} == set(out.columns)
     assert out.count() > 0 and P.ORACLE_SQL is None
+
+
+def plain(i, n=40):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def row(i, text, source="s"):
+    return (i, text, "en", source, len(text or ""))
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    shared = "a line that two texts of one id share, long enough to be compared"
+    rows = [row(1, f"{plain('a')}\n{shared}"), row(1, f"{shared}\n{plain('b')}"), row(None, f"{plain('c')}\n{shared}"), row(None, plain("d")), row(None, plain("d"))]
+    kind = "doc_id long, text string, lang string, source string, n_chars int"
+    lined = sorted((r["doc_id"] or 0, r["text"]) for r in P.drop_repeated_lines(spark, spark.createDataFrame(rows, kind), SF).collect())
+    # the first place is line 0 of the second text; line 1 of the first and of the text without id go
+    assert lined == sorted([(1, plain("a")), (1, f"{shared}\n{plain('b')}"), (0, plain("c")), (0, plain("d")), (0, plain("d"))])
+    # one of each text: a near copy under one id, copies without id; the unique text of a repeated id stays
+    near = [row(5, plain("e")), row(5, plain("e")), row(6, plain("e")), row(6, plain("f")), row(None, plain("g")), row(None, plain("g")), row(None, plain("f"))]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in P.drop_near_copies(spark, spark.createDataFrame(near, kind), SF).collect())
+    assert got == sorted([(5, plain("e")), (6, plain("f")), (0, plain("g"))])
+    # each row's words as planned, in all as many as the budgets
+    some = [row(None, plain(f"n{i}"), "t") for i in range(5)] + [row(7, plain(f"r{i}"), "s") for i in range(4)] + [row(8, plain("q"), "s")] * 3
+    docs = spark.createDataFrame(some, kind)
+    plan = mixing.mix(docs).collect()
+    words: dict = {}
+    for r in P.mix_sources(spark, docs, SF).collect():
+        key = (r["source"], r["text"].split()[0])
+        words[key] = words.get(key, 0) + len(r["text"].split())
+    assert sum(words.values()) == sum(r["taken"] for r in plan)
+    size = {("s", "wqx0"): 120}
+    assert all(n <= 3 * size.get(k, 40) for k, n in words.items())
+    assert sum(n for (s, _), n in words.items() if s == "t") == sum(r["taken"] for r in plan if r["doc_id"] is None) > 0
