@@ -7,7 +7,9 @@ under its nearest corners but also under the next best combinations, so two vect
 when any of their entries agree (at cosine 0.9 with probability about 0.995, see the tests). Pairs
 that meet are verified by their cosine in double precision.
 
-Equal vectors are one class. Entries that meet no other are dropped before vectors are
+Equal vectors are one class: its smallest id and its size, never a list of its ids. Ids find
+their class by a 128-bit digest of the vector; the few classes with over a HOT share of the
+rows are broadcast, so their members are not dealt to one task. Entries that meet no other are dropped before vectors are
 attached. A large bucket is split into blocks, and pairs of blocks are compared by
 different tasks. A pair that meets in several buckets counts in the least of them only, so
 numbers of links need no list of pairs: tasks return sums per vector and a spanning forest.
@@ -40,6 +42,8 @@ TOP, RANKS = 3, 2
 SEED = 42
 #: Rows of a bucket that are compared in one block.
 BLOCK = 512
+#: Share of the rows from which a class of equal vectors is broadcast to its members.
+HOT = 1 / 1024
 _ENTRIES = [c for c in itertools.product(range(TOP), repeat=CORNERS) if sum(c) <= RANKS]
 
 
@@ -164,8 +168,11 @@ def near_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, tables: int =
     v = F.col(vector_col).cast("array<double>")
     fine = (v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
             & F.col(id_col).isNotNull())
-    one = vectors.where(fine).select(F.col(id_col).alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    member = materialize(one.groupBy("v").agg(F.min("vec_id").alias("id"), F.collect_list("vec_id").alias("ids"), F.count(F.lit(1)).alias("n")), "classes")
+    own = F.transform(vector_col, lambda x: F.when(x == 0, F.lit(0)).otherwise(x))  # one zero
+    one = vectors.where(fine).select(F.col(id_col).alias("vec_id"), own.cast(dict(vectors.dtypes)[vector_col]).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    one = materialize(one.select("vec_id", "v", F.xxhash64("v").alias("d1"), F.xxhash64(F.lit(1), "v").alias("d2")), "members")
+    member = materialize(one.groupBy("d1", "d2", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
+                         .withColumn("v", F.col("v").cast("array<double>")), "classes")
 
     def hashed(c):
         out = {"id": c["id"], "n": c["n"], "v": [None] * len(c["id"]), "key": [None] * len(c["id"])}
@@ -193,8 +200,15 @@ def near_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, tables: int =
     found = materialize(sorted_.mapInArrow(lambda b: _compare_batches(b, min_cosine), "a long, b long, links long"), "links")
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "id")
     comp = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "id")
-    named = (member.select("id", "n", F.explode("ids").alias("__id")).join(links, "id", "left").join(comp, "id", "left")
-             .select("__id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    known = (member.select("id", "n", "d1", "d2").join(links, "id", "left").join(comp, "id", "left")
+             .select("d1", "d2", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    known = materialize(known, "known")
+    ids = one.select(F.col("vec_id").alias("__id"), "d1", "d2")
+    least = max(2, ids.count() * HOT)
+    hot = F.broadcast(known.where(F.col("n") > least))  # fewer than 1 / HOT classes
+    named = ids.join(hot, ["d1", "d2"]).unionByName(
+        ids.join(hot.select("d1", "d2"), ["d1", "d2"], "left_anti").join(known.where(F.col("n") <= least), ["d1", "d2"]))
+    named = named.select("__id", "n_links", "component_id")
     rows = vectors.select(F.col(id_col).alias("vec_id"))
     return rows.join(named, rows.vec_id == named["__id"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -164,6 +164,26 @@ def test_embedding_defined_cases(spark):
     assert embedding_dedup.near_dedup(vectors(spark, [])).collect() == []
 
 
+def test_classes_of_equal_vectors_hold_no_list_of_ids(spark, monkeypatch):
+    written = {}
+
+    def kept(df, name, write=embedding_dedup.materialize):
+        written[name] = dict(df.dtypes)
+        return write(df, name)
+
+    monkeypatch.setattr(embedding_dedup, "materialize", kept)
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, 2.0, 0.0 if i % 2 else -0.0, 3.0]) for i in range(400)]  # one class, also with a signed zero
+    rows += [(1000 + i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(40)] + [(2000 + i, [-9.0, 1.0, 4.0, 0.5]) for i in range(2)]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_dedup(vectors(spark, rows)).collect()}
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    assert len(got) == len(rows) and all(399 <= got[i]["n_links"] <= near[i].sum() - 1 and got[i]["component_id"] == 0 for i in range(400))
+    assert got[2001]["component_id"] == got[2000]["component_id"] and got[2000]["n_links"] >= 1
+    assert "array<bigint>" not in written["classes"].values()
+
+
 # --- top k ---------------------------------------------------------------------------------
 
 def brute_top(rows, k=10):
