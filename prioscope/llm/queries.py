@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prioscope.llm import chunks, embedding_dedup, line_dedup, lm, mixing, mtree, packing, secrets, simhash, toxicity
+from prioscope.llm import chunks, conversations, embedding_dedup, line_dedup, lm, mixing, mtree, oracle, packing, secrets, simhash, toxicity
 from prioscope.llm.common import table
 from prioscope.session import materialize
 
@@ -61,6 +61,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,11 +73,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_secret_scan, op3_toxicity, op4_best_fit_packing, op5_simhash_dedup, op6_embedding_dedup,
-    op7_line_dedup, op8_top_k, op9_lm_score, op10_mix, pipeline)}
+    op7_line_dedup, op8_top_k, op9_lm_score, op10_mix, op12_conversation_repair, pipeline)}
 
 #: DuckDB SQL of the queries that SQL can express. The base patterns' spans, the tokenizer's
 #: ids, XXH64 fingerprints, models and searches are tested against brute force instead.
 ORACLE_SQL = {
+    "op12_conversation_repair": oracle.CONVERSATION_REPAIR,
     "op10_mix": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
