@@ -53,3 +53,20 @@ SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+LEXICAL_SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+i AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+qt AS (SELECT q, t, count(*) AS times FROM (SELECT q, unnest(terms) AS t FROM i) GROUP BY q, t),
+s AS (SELECT count(*) FILTER (len(terms) > 0) AS docs, CAST(sum(len(terms)) AS BIGINT) AS length FROM d),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(terms) AS t FROM d) WHERE t IN (SELECT t FROM qt) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY t, docs),
+x AS (SELECT r, t, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(terms) * docs) // length)) AS x FROM tf JOIN d USING (r), s),
+scored AS (SELECT q, r, CAST(sum(w * times * x) AS BIGINT) AS score FROM qt JOIN w USING (t) JOIN x USING (t) GROUP BY q, r HAVING sum(w * times * x) > 0),
+ranked AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored JOIN d USING (r))
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN i USING (q) WHERE rank <= 20
+"""

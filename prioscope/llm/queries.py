@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prioscope.llm import chunks, conversations, embedding_dedup, line_dedup, lm, mixing, mtree, oracle, packing, secrets, simhash, toxicity
+from prioscope.llm import balltree, chunks, conversations, embedding_dedup, line_dedup, lm, mixing, mtree, oracle, packing, quality, secrets, simhash, toxicity
 from prioscope.llm.common import table
 from prioscope.session import materialize
 
@@ -61,10 +61,21 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_k(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 20)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = lm.held_out("doc_id", 5, 0)
+    got = quality.score(docs, quality.fit(docs, labels.where(~out)))
+    return got.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,11 +84,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_secret_scan, op3_toxicity, op4_best_fit_packing, op5_simhash_dedup, op6_embedding_dedup,
-    op7_line_dedup, op8_top_k, op9_lm_score, op10_mix, op12_conversation_repair, pipeline)}
+    op7_line_dedup, op8_top_k, op9_lm_score, op10_mix, op11_lexical_search, op12_conversation_repair, op13_quality, pipeline)}
 
 #: DuckDB SQL of the queries that SQL can express. The base patterns' spans, the tokenizer's
 #: ids, XXH64 fingerprints, models and searches are tested against brute force instead.
 ORACLE_SQL = {
+    "op11_lexical_search": oracle.LEXICAL_SEARCH,
     "op12_conversation_repair": oracle.CONVERSATION_REPAIR,
     "op10_mix": r"""
 WITH d AS (
