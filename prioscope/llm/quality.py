@@ -112,8 +112,8 @@ def describe(pieces: list[str]) -> np.ndarray:
         keys, counts = np.unique(of << 32 | hashed.astype(np.int64), return_counts=True)
         who = keys >> 32
         kinds = np.bincount(who, minlength=n)
-        top = np.zeros(n)
-        np.maximum.at(top, who, counts)
+        top, first = np.zeros(n), np.flatnonzero(np.diff(who, prepend=-1))
+        top[who[first]] = np.maximum.reduceat(counts, first)
         last = kind[stops - 1]
         mean = share(length)
         spread = np.sqrt(np.maximum(share(length.astype(float) ** 2) - mean ** 2, 0))
