@@ -292,13 +292,36 @@ mt AS (SELECT round(accuracy, 4) AS accuracy, round(macro_f1, 4) AS macro_f1,
               round(recall_class0, 4) AS recall_class0, round(recall_class1, 4) AS recall_class1 FROM mr)"""
 
 
+def _arrival_ctes() -> str:
+    """``wm``: each slice's watermark (newest time of the earlier slices less one hour, in
+    milliseconds); ``arrived``: every arriving row with how it came."""
+    return """
+ev AS (SELECT *, (date_diff('day', CAST((SELECT min(ts) FROM events) AS DATE), CAST(ts AS DATE)) // 10)
+                 + CAST(event_id % 37 = 5 AS INTEGER) AS own, epoch_ms(ts) AS ms FROM events),
+arr AS (SELECT event_id, ts, ms, own AS slice, 0 AS copy FROM ev UNION ALL
+        SELECT event_id, ts, ms, own, 1 FROM ev WHERE event_id % 11 = 3 UNION ALL
+        SELECT event_id, ts, ms, own + 1, 2 FROM ev WHERE event_id % 23 = 7),
+wm AS (SELECT s.slice, coalesce(max(a.ms) - 3600000, 0) AS edge FROM (SELECT DISTINCT slice FROM arr) s
+       LEFT JOIN arr a ON a.slice < s.slice GROUP BY s.slice),
+tm AS (SELECT a.*, edge, row_number() OVER (PARTITION BY event_id, a.slice ORDER BY copy) AS nth,
+              min(CASE WHEN ms > edge THEN a.slice END) OVER (PARTITION BY event_id) AS came
+       FROM arr a JOIN wm USING (slice)),
+arrived AS (SELECT *, CASE WHEN came < slice AND ms + 3600000 > edge THEN 'repeat' WHEN ms <= edge THEN 'late'
+                      WHEN nth > 1 THEN 'repeat' ELSE 'on_time' END AS arrival FROM tm)"""
+
+
+def _stream_arrivals_sql() -> str:
+    return f"""WITH {_arrival_ctes()}
+SELECT CAST(event_id AS VARCHAR) AS ticket_id, arrival, count(*) AS copies FROM arrived
+WHERE event_id IN (SELECT o_orderkey FROM orders) GROUP BY ALL"""
+
+
 def _stream_daily_sql() -> str:
-    return with_audit("""
-, sa AS (SELECT * FROM au WHERE has_event),
-  wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM sa)
-SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, mismatch_type, count(*) AS n
-FROM sa, wm WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= w
-GROUP BY ALL""")
+    return with_audit("," + _arrival_ctes() + """,
+came AS (SELECT CAST(event_id AS VARCHAR) AS ticket_id, max(CAST(arrival = 'on_time' AS INTEGER)) AS on_time FROM arrived GROUP BY 1)
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, mismatch_type, count(*) AS n,
+       CAST(sum(1 - on_time) AS BIGINT) AS n_late
+FROM au JOIN came USING (ticket_id) GROUP BY ALL""")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -491,6 +514,7 @@ FROM au t JOIN b_au b USING (ticket_id) JOIN c_au c USING (ticket_id)"""),
         "stream_scored": with_audit("""
 SELECT ticket_id, nlp_severity, rt_severity, inferred_severity, mismatch_label, mismatch_type
 FROM au WHERE has_event"""),
+        "stream_arrivals": _stream_arrivals_sql(),
         "stream_daily_counts": _stream_daily_sql(),
     }
     return q

@@ -381,11 +381,60 @@ def q_stream_scored(spark, sf):
     return run_to_table(spark, out, "stream-scored")
 
 
+#: Arrivals are replayed in slices of so many days.
+SLICE_DAYS = 10
+
+
+def arrival_slices(spark, sf) -> DataFrame:
+    """``events`` with the slice in which a row arrives: by its day, one slice later for ids that
+    leave 5 by 37; ids that leave 3 by 11 come twice, those that leave 7 by 23 again one later."""
+    ev = table(spark, sf, "events")
+    ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))
+    first = F.broadcast(ev.agg(F.to_date(F.min("ts")).alias("first")))  # one row
+    late = (F.col("event_id") % 37 == 5).cast("int")
+    own = (F.datediff(F.to_date("ts"), "first") / SLICE_DAYS).cast("int") + late
+    copies = F.array_compact(F.array(own, F.when(F.col("event_id") % 11 == 3, own), F.when(F.col("event_id") % 23 == 7, own + 1)))
+    return ev.crossJoin(first).select(*ev.columns, F.explode(copies).alias("slice"))
+
+
+def _replay(spark, sf, queries: dict) -> dict[str, str]:
+    """Drain the streaming ``queries`` (name -> (stream of raw tickets -> stream, partition column))
+    after each slice has arrived, then after the end marker; returns their tables."""
+    from prioscope.session import materialize, scratch_path
+    from prioscope.streaming.stream import drain, end_marker, read_arrivals, timed
+    slices = materialize(arrival_slices(spark, sf), "slices")
+    edge = slices.agg(F.max("slice").alias("n"), F.max("ts").alias("last")).first()
+    schema, inbox = slices.drop("slice").schema, scratch_path(spark, "arrivals")
+    orders = table(spark, sf, "orders")
+    outs = {}
+    for number in range(edge["n"] + 2):
+        part = slices.where(F.col("slice") == number).drop("slice") if number <= edge["n"] else end_marker(slices.drop("slice"), edge["last"])
+        part.write.mode("append").parquet(inbox)
+        for name, (build, column) in queries.items():
+            outs.setdefault(name, scratch_path(spark, name))
+            drain(build(tickets_from(orders, timed(read_arrivals(spark, inbox, schema)), how="inner")), outs[name], partition_by=column)
+    return outs
+
+
+def q_stream_arrivals(spark, sf):
+    """How each row of the replayed arrivals came: on time, repeated or late."""
+    from prioscope.streaming.stream import split_arrivals
+    out = _replay(spark, sf, {"arrivals-split": (lambda s: split_arrivals(s.select("ticket_id", "ts")), "arrival")})
+    rows = spark.read.parquet(out["arrivals-split"])
+    return rows.groupBy("ticket_id", "arrival").agg(F.count(F.lit(1)).alias("copies"))
+
+
 def q_stream_daily_counts(spark, sf):
-    from prioscope.streaming.stream import daily_counts, freeze_baseline, run_to_table, score_stream
+    """Tickets per day and type: de-duplicated and counted by the stream, late ones added."""
+    from prioscope.streaming.stream import (daily_counts, daily_totals, freeze_baseline, late_tickets,
+                                            score_stream, split_arrivals)
     base = freeze_baseline(spark, tickets(spark, sf))
-    s = score_stream(_stream_source(spark, sf), base, watermark=None, dedupe=False)
-    return run_to_table(spark, daily_counts(s), "stream-daily")
+    out = _replay(spark, sf, {
+        "daily-windows": (lambda s: daily_counts(score_stream(s, base)), None),
+        "daily-arrivals": (split_arrivals, "arrival")})
+    rows = spark.read.parquet(out["daily-arrivals"])
+    late = late_tickets(rows.where("arrival = 'on_time'").drop("arrival"), rows.where("arrival = 'late'").drop("arrival"))
+    return daily_totals(spark.read.parquet(out["daily-windows"]), audit(clean(late, impute=False), baseline=base))
 
 
 QUERIES = {
@@ -438,5 +487,6 @@ QUERIES = {
     "challenge_scoreboard": q_challenge_scoreboard,
     "classifier_predictions": q_classifier_predictions,
     "stream_scored": q_stream_scored,
+    "stream_arrivals": q_stream_arrivals,
     "stream_daily_counts": q_stream_daily_counts,
 }

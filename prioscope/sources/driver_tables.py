@@ -107,7 +107,8 @@ def tickets_from(orders: DataFrame, events: DataFrame, how: str = "left") -> Dat
         (F.floor(F.col("value") * 10.0) / 10.0).alias("resolution_hours"),
         _pick(CHANNELS, "pmod(o_orderkey, 4)").alias("channel"),
         _pick(TICKET_TYPES, "pmod(o_custkey, 4)").alias("ticket_type"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        # a cast would drop a stream's watermark
+        F.col("ts") if dict(events.dtypes)["ts"] == "timestamp" else F.col("ts").cast("timestamp").alias("ts"),
     )
 
 

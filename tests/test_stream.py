@@ -78,3 +78,40 @@ def test_daily_counts_emit_closed_windows(spark, tmpdir_fresh):
     days = {r.day for r in out.collect()}
     last_day = table(spark, SF001, "events").agg(F.date_format(F.max("ts"), "yyyy-MM-dd")).first()[0]
     assert last_day not in days and len(days) >= 20
+
+
+def _drain_parts(spark, root, parts, schema, build, out, **kw):
+    from prioscope.streaming.stream import drain, read_arrivals, timed
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(root)
+        drain(build(timed(read_arrivals(spark, root, spark.createDataFrame([], schema).schema))), out, **kw)
+    return spark.read.parquet(out)
+
+
+def test_split_labels_every_arriving_row(spark, tmpdir_fresh):
+    import datetime as dt
+    from prioscope.streaming.stream import late_tickets, split_arrivals
+    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    parts = [
+        [("a", t(10), 1), ("b", t(9), 2), ("a", t(10), 3), (None, t(10), 4), (None, t(10), 5), ("n", None, 6)],
+        # watermark 9:00 from here on; b and a are remembered, c is behind it, d at it
+        [("b", t(9), 7), ("c", t(8), 8), ("c", t(8), 9), ("d", t(9), 10), ("e", t(20), 11), ("n", None, 12)],
+        # watermark 19:00; a is forgotten, so its row is late
+        [("a", t(10), 13), ("e", t(20), 14), ("f", t(19.5), 15)],
+    ]
+    rows = _drain_parts(spark, os.path.join(tmpdir_fresh, "in"), parts, "ticket_id string, ts timestamp, n int",
+                        lambda s: split_arrivals(s, groups=4), os.path.join(tmpdir_fresh, "out"), partition_by="arrival")
+    got = {r.n: r.arrival for r in rows.collect()}
+    late, repeat = {8, 9, 10, 13}, {3, 7, 14} if got[1] == "on_time" else {1, 7, 14}
+    assert got == {n: "late" if n in late else "repeat" if n in repeat else "on_time" for n in range(1, 16)}
+    extra = late_tickets(rows.where("arrival = 'on_time'").drop("arrival"), rows.where("arrival = 'late'").drop("arrival"))
+    assert sorted(r.ticket_id for r in extra.collect()) == ["c", "d"]
+
+
+def test_daily_counts_sum_to_the_distinct_events(spark):
+    from prioscope.plans.queries import q_stream_daily_counts
+    got = q_stream_daily_counts(spark, SF001).collect()
+    events = table(spark, SF001, "events")
+    assert sum(r.n for r in got) == events.select("event_id").distinct().count()
+    assert 0 < sum(r.n_late for r in got) < sum(r.n for r in got)
+    assert {r.day for r in got} == {r[0] for r in events.select(F.date_format("ts", "yyyy-MM-dd")).distinct().collect()}
