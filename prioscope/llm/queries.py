@@ -103,10 +103,10 @@ p AS (SELECT *, sum(n) OVER () AS total,
              sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM o),
 l AS (SELECT min_by((total - capped) / free, k) AS unit, min(k) AS first_free FROM p WHERE (total - capped) / free <= ratio),
 t AS (SELECT source, CAST(n AS BIGINT) AS source_size, CAST(CASE WHEN k < first_free THEN 3.0 * n ELSE unit * weight END AS DOUBLE) AS target FROM p, l),
-r AS (SELECT d.*, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE floor(target) // source_size END AS epochs,
-             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+r AS (SELECT d.*, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE floor(floor(target) / source_size) END AS epochs,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - at)) AS BIGINT) AS taken FROM r
+       CAST(epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - start_at)) AS BIGINT) AS taken FROM r
 """,
 }
