@@ -68,6 +68,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers that see the driver's installation import this package; on a cluster it
+    is installed or sent with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*filter(None, known), root])
+
+
 def materialize(df, name: str):
     """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder and
     return a DataFrame that scans it. Used before iterative work (model fitting) so

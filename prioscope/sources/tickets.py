@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prioscope.operators.ids import tag_scan, ticket_id_from_position, with_position
+from prioscope.sources.csv_records import SURPLUS, parsed, read_records
 
 # FIXED VALUES — field texts a pandas CSV read turns into missing values.
 NA_TOKENS = [
@@ -27,7 +26,8 @@ COLUMN_MAP = {
     "issue_category": "ticket_type",
 }
 
-_SURPLUS = "__surplus"
+
+_FILE, _RECORD = "__file", "__record"
 
 
 def normalise_header(name: str) -> str:
@@ -61,71 +61,73 @@ def na_to_null(df: DataFrame, tokens=None) -> DataFrame:
     return df.select(*cols)
 
 
-def _files_by_header(spark: SparkSession, path: str, multi_line: bool) -> dict[tuple, list[str]]:
-    """Files of a CSV path grouped by their headers (one header record is read per file)."""
-    groups: dict[tuple, list[str]] = {}
-    for f in sorted(spark.read.text(path).inputFiles()):
-        head = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(f)
-        if head.columns:
-            groups.setdefault(tuple(head.columns), []).append(f)
-    return groups
-
-
-def _scan_csv(spark: SparkSession, path: str, multi_line: bool) -> list[DataFrame]:
-    """One scan per distinct header, every field as text. A column past the header's last
-    takes the first surplus field of a row (null in rows that fit)."""
-    def quoted(c):
-        return "`" + c.replace("`", "``") + "` string"
-    return [(spark.read
-             .schema(", ".join(quoted(c) for c in [*header, _SURPLUS]))
-             .option("header", True)
-             .option("multiLine", multi_line)
-             .option("quote", '"')
-             .option("escape", '"')
-             .option("mode", "PERMISSIVE")
-             .csv(files)) for header, files in _files_by_header(spark, path, multi_line).items()]
+def _united(records: DataFrame, heads: list[tuple[str, list[str]]], rename: bool) -> DataFrame:
+    """Fields of all headers by their canonical names: one column each, from the header that has it."""
+    source: dict[str, list] = {}
+    for i, (_, names) in enumerate(heads):
+        seen = set()
+        for raw in names:
+            name = normalise_header(raw)
+            name = COLUMN_MAP.get(name, name) if rename else name
+            if name in seen:
+                raise ValueError(f"rename would duplicate existing column(s): [{name!r}]")
+            seen.add(name)
+            source.setdefault(name, []).append(F.col(f"h{i}").getField(raw))
+        source.setdefault(SURPLUS, []).append(F.col(f"h{i}").getField(SURPLUS))
+    wide = parsed(records, heads)
+    return wide.select(*[(F.coalesce(*cs) if len(cs) > 1 else cs[0]).alias(n) for n, cs in source.items()], "__row_pos", F.col("file").alias(_FILE), F.col("record").alias(_RECORD))
 
 
 def read_tickets(spark: SparkSession, path: str, fmt: str = "csv",
                  rename: bool = True, na_tokens=None, fill_ids: bool = True,
-                 multi_line: bool = True, surplus: str = "drop") -> DataFrame:
+                 multi_line: bool = True, surplus: str = "drop", rejects: str | None = None) -> DataFrame:
     """Scan a ticket export: every field as text, header normalised and renamed.
 
     ``path`` may be a directory or a glob: all files are read (no "first file only"). Files
     are read by their own headers and united by column name, so columns may stand in another
     order or be absent in some files. Rows with fewer fields than the header get nulls; rows
-    with more are refused (see ``surplus_rows`` for them) unless ``surplus="keep"`` keeps
-    them without the fields past the header.
-
-    ``multi_line``: quoted fields may hold newlines; one task then reads each file. Turn it off
-    for exports without such fields, so that large files are split. Without a ``ticket_id``
-    column, ids ``TKT_%05d`` are made from the row position in file order, refused rows
-    included (see ``operators.ids``).
+    with more are refused unless ``surplus="keep"`` keeps them without the fields past the
+    header. ``rejects`` names a folder to which the refused records are written as they are
+    (see ``surplus_rows``), so that none vanishes.
+
+    Quoted fields may hold newlines, and every file is still read by as many tasks as it has
+    splits (``sources.csv_records``); with ``multi_line=False`` a newline always ends a record.
+    Without a ``ticket_id`` column, ids ``TKT_%05d`` are made from the row position in file
+    order, refused rows included.
     """
-    scans = _scan_csv(spark, path, multi_line) if fmt == "csv" else [spark.read.format(fmt).load(path)]
-    if not scans:
-        raise ValueError(f"no CSV file with a header at {path}")
-    fill = fill_ids and not any("ticket_id" in map(normalise_header, s.columns) for s in scans)
-    parts = []
-    for s in scans:
-        names = [c if c == _SURPLUS else normalise_header(c) for c in s.columns]
+    if fmt != "csv":
+        df = spark.read.format(fmt).load(path)
+        fill = fill_ids and "ticket_id" not in map(normalise_header, df.columns)
+        df = normalise_columns(df) if not fill else (lambda t: t.toDF(*[normalise_header(c) for c in df.columns], *t.columns[len(df.columns):]))(tag_scan(df))
+        df = na_to_null(df, na_tokens)
+        df = apply_column_map(df) if rename else df
         if fill:
-            s = tag_scan(s)
-            names += s.columns[len(names):]
-        s = na_to_null(s.toDF(*names), na_tokens)
-        parts.append(apply_column_map(s) if rename else s)
-    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    if fill:
-        df = with_position(df, "__row_pos")
-        df = df.withColumn("ticket_id", ticket_id_from_position("__row_pos")).drop("__row_pos")
-    if _SURPLUS not in df.columns:
+            df = with_position(df, "__row_pos")
+            df = df.withColumn("ticket_id", ticket_id_from_position("__row_pos")).drop("__row_pos")
         return df
-    return (df if surplus == "keep" else df.where(F.col(_SURPLUS).isNull())).drop(_SURPLUS)
+    heads, records = read_records(spark, path, multi_line)
+    if not heads:
+        raise ValueError(f"no CSV file with a header at {path}")
+    rows = _united(records, heads, rename)
+    if rejects:
+        _rejected(rows).write.mode("error").json(rejects)
+    if surplus != "keep":
+        rows = rows.where(F.col(SURPLUS).isNull())
+    fields = na_to_null(rows.drop(SURPLUS, _FILE, _RECORD), na_tokens)
+    if fill_ids and "ticket_id" not in fields.columns:
+        fields = fields.withColumn("ticket_id", ticket_id_from_position("__row_pos"))
+    return fields.drop("__row_pos")
+
+
+def _rejected(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col(SURPLUS).isNotNull()).select(
+        F.col(_FILE).alias("file"), F.col("__row_pos").alias("position"), F.col(f"`{rows.columns[0]}`").alias("first_field"), F.col(SURPLUS).alias("surplus_field"), F.col(_RECORD).alias("record"))
 
 
 def surplus_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Rejects of ``read_tickets``: rows of a CSV path with more fields than their header, as
-    ``first_field, surplus_field`` (the first one past the header)."""
-    parts = [s.where(F.col(_SURPLUS).isNotNull()).select(F.col(f"`{s.columns[0]}`").alias("first_field"), F.col(_SURPLUS).alias("surplus_field"))
-             for s in _scan_csv(spark, path, multi_line)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "first_field string, surplus_field string")
+    ``file, position, first_field, surplus_field`` (the first one past the header) and the whole ``record``."""
+    heads, records = read_records(spark, path, multi_line)
+    if not heads:
+        return spark.createDataFrame([], "file string, position long, first_field string, surplus_field string, record string")
+    return _rejected(_united(records, heads, rename=False))
