@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prioscope.functions.scoring import level_score, priority_norm
 from prioscope.functions.text import ws_trim
-from prioscope.operators.quantiles import exact_ranks
+from prioscope.operators.quantiles import quantile_summary
 
 # FIXED VALUES — defaults for absent columns.
 DEFAULT_HOURS = 24.0
@@ -65,25 +64,10 @@ def time_baseline(df: DataFrame, hours_col: str = "resolution_hours",
     moments = [F.count(F.lit(1)).alias("n"), F.count(h).alias("n_obs"),
                F.avg(h).alias("mean_obs"), F.var_pop(h).alias("var_obs")]
     if median == "exact":
-        # one double column, kept (memory, spilling to disk) for the few search rounds
-        # so they do not recompute the upstream plan; recomputed from lineage if lost
-        col = df.select(h.cast("double").alias("__x")).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            x = F.col("__x")
-            st = col.agg(F.count(F.lit(1)).alias("n"), F.count(x).alias("n_obs"),
-                         F.avg(x).alias("mean_obs"), F.var_pop(x).alias("var_obs"),
-                         F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-            med = None
-            if st["n_obs"]:
-                lo_r, hi_r = (st["n_obs"] - 1) // 2, st["n_obs"] // 2
-                at = exact_ranks(col.where(x.isNotNull()), {lo_r, hi_r}, st["lo"], st["hi"])
-                a, b = at[lo_r], at[hi_r]
-                med = a if lo_r == hi_r else a + (b - a) * 0.5
-        finally:
-            col.unpersist()
-        mean, std = _imputed_moments(st["n"], st["n_obs"], st["mean_obs"], st["var_obs"], med)
+        at, st = quantile_summary(df, hours_col, [0.5])
+        mean, std = _imputed_moments(st["rows"], st["n"], st["mean"], st["var"], at[0.5])
         return df.sparkSession.createDataFrame(
-            [(med, mean, std, st["n"])],
+            [(at[0.5], mean, std, st["rows"])],
             "hours_median double, hours_mean double, hours_std double, n long")
     med_col = F.median(h) if median == "percentile" else F.percentile_approx(h, 0.5, accuracy)
     stats = df.agg(*moments, med_col.cast("double").alias("hours_median"))

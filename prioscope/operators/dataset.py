@@ -13,11 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prioscope.functions.scoring import hours_text
+from prioscope.session import materialize
 
 # FIXED VALUES — metadata prefix of the classifier input, and split shares / seed.
 MODEL_INPUT_FORMAT = "[CHANNEL: %s] [RESOLUTION_TIME: %s] [TYPE: %s] %s"
 SPLIT_SEED = 42
 SPLIT_CUTS = (0.70, 0.85)  # train | val | test = 70 / 15 / 15
+#: Rows of a rank window on average, and the longest prefix (its offsets table is still broadcast).
+BUCKET_ROWS = 1 << 20
+MAX_PREFIX = 5
 
 
 def with_model_input(df: DataFrame, max_chars: int | None = None,
@@ -57,23 +61,29 @@ def split_key(id_col: str = "ticket_id", seed: int = SPLIT_SEED):
 
 
 def stratified_split(df: DataFrame, label: str = "mismatch_label", id_col: str = "ticket_id",
-                     seed: int = SPLIT_SEED, cuts=SPLIT_CUTS, prefix: int = 4,
+                     seed: int = SPLIT_SEED, cuts=SPLIT_CUTS, prefix: int | None = None,
                      out: str = "split") -> DataFrame:
     """Exact stratified train/val/test assignment.
 
     Within each class, rows ranked by (md5(id|seed), id) get ``train`` for rank <=
     floor(n * cuts[0]), ``val`` for rank <= floor(n * cuts[1]), else ``test``.
 
-    Pass 1 counts rows per (class, hash-prefix bucket): partial aggregation leaves at
-    most ``#classes * 16**prefix`` rows, whose running sums (a window over that small
-    table) give each bucket's rank offset. Pass 2 ranks rows inside their bucket with
-    a window partitioned by (class, bucket) -- thousands of small, evenly filled
-    partitions even when one class holds most rows -- and adds the offset.
-    ``prefix=4`` (65,536 buckets per class) keeps window groups near 1.5 M rows at
-    10^11 rows; use 5 beyond that (the offsets table is still a few tens of MB).
+    The rows are written once with their hash, so an expensive upstream plan (text scoring)
+    runs a single time; both passes read that table. Pass 1 counts rows per (class,
+    hash-prefix bucket), whose running sums (a window over that small table) give each
+    bucket's rank offset. Pass 2 ranks rows inside their bucket with a window partitioned by
+    (class, bucket), many evenly filled partitions even when one class holds most rows, and
+    adds the offset. The length of the prefix follows the number of rows (a bucket holds
+    ``BUCKET_ROWS`` at most, on average); ``prefix`` sets it by hand.
     """
+    keyed = materialize(df.withColumn("__h", split_key(id_col, seed)), "split-input")
+    if prefix is None:
+        n = keyed.count()  # from the written files' footers
+        prefix = 1
+        while n > BUCKET_ROWS * 16 ** prefix and prefix < MAX_PREFIX:
+            prefix += 1
     c1, c2 = cuts
-    keyed = df.withColumn("__h", split_key(id_col, seed)).withColumn("__b", F.substring("__h", 1, prefix))
+    keyed = keyed.withColumn("__b", F.substring("__h", 1, prefix))
     buckets = keyed.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(label)
@@ -85,7 +95,7 @@ def stratified_split(df: DataFrame, label: str = "mismatch_label", id_col: str =
     )
     in_bucket = Window.partitionBy(label, "__b").orderBy("__h", id_col)
     ranked = keyed.withColumn("__r", F.row_number().over(in_bucket))
-    # The offsets table is bounded by #classes * 16**prefix rows: a proven size bound.
+    # The offsets table is bounded by #classes * 16**MAX_PREFIX rows: a proven size bound.
     joined = ranked.join(F.broadcast(offsets), [label, "__b"])
     r = F.col("__before") + F.col("__r")
     split = F.when(r <= F.col("__k1"), "train").when(r <= F.col("__k2"), "val").otherwise("test")

@@ -268,10 +268,9 @@ def _split_sql(src: str = "au") -> str:
         FROM {src}))"""
 
 
-def _metric_ctes() -> str:
-    return """,
-lp AS (SELECT mismatch_label AS label,
-              CAST(abs(nlp_severity - priority_score) >= 2 AS INTEGER) AS prediction FROM au),
+def _metric_ctes(labelled: str = "SELECT mismatch_label AS label, CAST(abs(nlp_severity - priority_score) >= 2 AS INTEGER) AS prediction FROM au") -> str:
+    return f""",
+lp AS ({labelled}),""" + """
 cn AS (SELECT count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
               count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
               count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
@@ -324,6 +323,59 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, mismatch_type, count(
 FROM au JOIN came USING (ticket_id) GROUP BY ALL""")
 
 
+def _newton_sql(tail: str) -> str:
+    """The classifier again: Newton steps by Gauss-Jordan elimination over nested lists. Each
+    number of the steps is a one-row CTE."""
+    counts = ["crit_kw_count", "high_kw_count", "med_kw_count", "low_kw_count", "esc_phrase_count", "negation_count"]
+    xs = ["1", *counts, "resolution_hours / 24"]
+    for c, values in (("channel", CHANNELS), ("ticket_type", TICKET_TYPES)):
+        xs += [f"CAST({c} = {lit(v)} AS INTEGER)" for v in sorted(values)[1:]]
+    n = len(xs)
+    parts = [_split_sql().replace("SELECT ticket_id, mismatch_label,", "SELECT ticket_id, mismatch_label, split_x AS x,", 1)
+             .replace("FROM (SELECT ticket_id, mismatch_label,", "FROM (SELECT ticket_id, mismatch_label, [" + ", ".join(f"CAST({x} AS DOUBLE)" for x in xs) + "] AS split_x,", 1)
+             .replace("sp AS (", "sp AS MATERIALIZED (", 1),
+             """cw AS MATERIALIZED (SELECT mismatch_label, CAST(sum(count(*)) OVER () AS DOUBLE) / (2 * count(*)) AS w FROM sp WHERE split = 'train' GROUP BY 1),
+tw AS MATERIALIZED (SELECT sum(w) AS total FROM sp JOIN cw USING (mismatch_label) WHERE split = 'train')"""]
+
+    def step(name: str, start: str, ridge: float) -> None:
+        """CTE ``name``: weights ``b`` one step from those of ``start``, and their macro F1."""
+        parts.append(f"""{name}_p AS MATERIALIZED (
+  SELECT w, x, p - mismatch_label AS e, p * (1 - p) AS v FROM (
+    SELECT mismatch_label, w, x, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM sp JOIN cw USING (mismatch_label), {start} WHERE split = 'train')),
+{name}_h AS MATERIALIZED (
+  SELECT list(row ORDER BY j) AS m FROM (
+    SELECT j, list(s ORDER BY k) AS row FROM (
+      SELECT j, k, CASE WHEN k <= {n} THEN sum(w * v * x[j] * x[least(k, {n})]) / any_value(total) + CASE WHEN j = k THEN {ridge!r} ELSE 0 END
+                        ELSE sum(w * e * x[j]) / any_value(total) + {ridge!r} * any_value(b[j]) END AS s
+      FROM {name}_p, tw, {start}, range(1, {n + 1}) r(j), range(1, {n + 2}) q(k) GROUP BY j, k) GROUP BY j))""")
+        last = f"{name}_h"
+        for k in range(1, n + 1):
+            parts.append(f"""{name}_{k} AS MATERIALIZED (SELECT list_transform(m, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda v: v / m[{k}][{k}])
+  ELSE list_transform(r, lambda v, j: v - r[{k}] * m[{k}][j] / m[{k}][{k}]) END) AS m FROM {last})""")
+            last = f"{name}_{k}"
+        parts.append(f"""{name}_b AS MATERIALIZED (SELECT list_transform(b, lambda v, i: v - m[i][{n + 1}]) AS b FROM {start}, {last}),
+{name} AS MATERIALIZED (
+  SELECT any_value(b) AS b, coalesce(tn / nullif(tn + (fn + fp) / CAST(2 AS DOUBLE), 0), 0) / 2 + coalesce(tp / nullif(tp + (fn + fp) / CAST(2 AS DOUBLE), 0), 0) / 2 AS f1
+  FROM (SELECT count(*) FILTER (y = 1 AND q) AS tp, count(*) FILTER (y = 0 AND q) AS fp, count(*) FILTER (y = 1 AND NOT q) AS fn, count(*) FILTER (y = 0 AND NOT q) AS tn
+        FROM (SELECT mismatch_label AS y, list_dot_product(x, b) >= 0 AS q FROM sp, {name}_b WHERE split = 'val')), {name}_b GROUP BY tp, fp, fn, tn)""")
+
+    parts.append(f"c_start AS MATERIALIZED (SELECT CAST({[0.0] * n} AS DOUBLE[]) AS b)")
+    start = "c_start"
+    for c, ridge in enumerate((0.1, 0.001)):
+        for e in range(1, 5):
+            step(f"c{c}e{e}", start if e == 1 else f"c{c}e{e - 1}", ridge)
+        rows = " UNION ALL ".join(f"SELECT {c} AS candidate, {e} AS epoch, CAST({ridge!r} AS DOUBLE) AS ridge, f1, b FROM c{c}e{e}" for e in range(1, 5))
+        # the fourth epoch is run unless two epochs have not risen above the first
+        parts.append(f"""c{c}_all AS MATERIALIZED ({rows}),
+c{c}_run AS MATERIALIZED (SELECT * FROM c{c}_all WHERE epoch <= 3 OR (SELECT max(round(f1, 12)) FILTER (epoch IN (2, 3)) > max(round(f1, 12)) FILTER (epoch = 1) FROM c{c}_all)),
+c{c}_best AS MATERIALIZED (SELECT * FROM c{c}_run ORDER BY round(f1, 12) DESC, epoch LIMIT 1)""")
+        start = f"c{c}_best"
+    parts.append("""runs AS MATERIALIZED (SELECT * FROM c0_run UNION ALL SELECT * FROM c1_run),
+chosen AS MATERIALIZED (SELECT * FROM runs ORDER BY round(f1, 12) DESC, candidate, epoch LIMIT 1),
+scored AS MATERIALIZED (SELECT ticket_id, mismatch_label, candidate, epoch, list_dot_product(x, b) AS z FROM sp, chosen WHERE split = 'test')""")
+    return with_audit(", " + ",\n".join(parts) + "\n" + tail)
+
+
 def oracle_sql() -> dict[str, str]:
     wide = case_map(f"lower(trim(priority_alt, {WS}))", WIDE_PRIORITY)
     strict = case_map(f"lower(trim(priority_alt, {WS}))", STRICT_PRIORITY)
@@ -491,9 +543,8 @@ SELECT ticket_id, CAST(len(viol) AS INTEGER) AS n_violations, array_to_string(vi
 SELECT ticket_id, order_key, mismatch_type, severity_delta FROM au WHERE mismatch_label = 1
 ORDER BY order_key LIMIT 50"""),
         "dossiers_pending": with_audit("""
-, firstn AS (SELECT ticket_id FROM au WHERE mismatch_label = 1 ORDER BY order_key LIMIT 50)
 SELECT ticket_id, mismatch_type FROM au
-WHERE mismatch_label = 1 AND ticket_id NOT IN (SELECT ticket_id FROM firstn)"""),
+WHERE mismatch_label = 1 AND order_key % 3 <> 0 AND order_key % 5 <> 0"""),
         "prompt_text": with_audit(f"SELECT ticket_id, {prompt_sql()} AS prompt FROM au WHERE mismatch_label = 1"),
         "parsed_response": with_audit(flagged_evidence_ctes() + """
 SELECT ticket_id,
@@ -511,6 +562,13 @@ FROM kwl"""),
        count(*) FILTER (WHERE b.mismatch_label = t.mismatch_label) AS keyword_correct,
        count(*) FILTER (WHERE c.mismatch_label = t.mismatch_label) AS model_correct
 FROM au t JOIN b_au b USING (ticket_id) JOIN c_au c USING (ticket_id)"""),
+        "classifier_predictions": _newton_sql("""
+SELECT ticket_id, mismatch_label, CAST(z >= 0 AS INTEGER) AS prediction,
+       round(greatest(1 / (1 + exp(-z)), 1 - 1 / (1 + exp(-z))), 4) AS confidence, candidate, epoch FROM scored"""),
+        "classifier_versions": _newton_sql(f"""
+SELECT r.candidate, r.epoch, r.ridge, {r6('r.f1')} AS macro_f1, r.candidate = c.candidate AND r.epoch = c.epoch AS chosen FROM runs r, chosen c"""),
+        "classifier_thresholds": _newton_sql(", " + _metric_ctes(
+            "SELECT mismatch_label AS label, CAST(z >= 0 AS INTEGER) AS prediction FROM scored").lstrip(",\n") + "\n" + thresholds),
         "stream_scored": with_audit("""
 SELECT ticket_id, nlp_severity, rt_severity, inferred_severity, mismatch_label, mismatch_type
 FROM au WHERE has_event"""),

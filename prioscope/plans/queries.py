@@ -317,8 +317,15 @@ def q_dossier_first_n(spark, sf, n: int = 50):
 
 
 def q_dossiers_pending(spark, sf):
-    cache = q_dossier_first_n(spark, sf)
-    return D.pending(flagged(spark, sf), cache).select("ticket_id", "mismatch_type")
+    """Flagged tickets without a stored dossier. Two runs have stored theirs before, those of the
+    orders that 3 and 5 divide, some of them twice."""
+    from prioscope.session import materialize, scratch_path
+    from prioscope.sources.dossiers import DossierStore
+    made = materialize(dossiers(spark, sf).select("ticket_id", "dossier"), "dossiers")  # one audit
+    store = DossierStore(spark, scratch_path(spark, "dossier-store"))
+    for n in (3, 5):
+        store.append(made.where(F.col("ticket_id").cast("bigint") % n == 0))
+    return store.pending(made).select("ticket_id", F.col("dossier.mismatch_type").alias("mismatch_type"))
 
 
 def q_prompt_text(spark, sf):
@@ -353,17 +360,36 @@ def q_challenge_scoreboard(spark, sf):
 
 
 # ---------------------------------------------------------------- model / streaming
-def q_classifier_predictions(spark, sf):
-    from prioscope.operators import model as ML
+def _classifier(spark, sf):
+    """Labelled tickets with their split, and the model chosen on them."""
+    from prioscope.operators import newton
     from prioscope.session import materialize
-    a = with_model_input(audited(spark, sf)).select(
-        "ticket_id", "mismatch_label", "model_input", "channel", "ticket_type", "resolution_hours")
-    # the split keeps every column (no join back); fitting reads the data many times,
-    # so the prepared table is written once to the shared checkpoint folder
+    a = audited(spark, sf).select("ticket_id", "mismatch_label", "channel", "ticket_type", "resolution_hours", *newton.COUNTS)
     data = materialize(stratified_split(a), "classifier-input")
-    m = ML.train(data.where("split = 'train'"), data.where("split = 'val'"), reg_params=(0.01,))
-    scored = ML.score(m, data.where("split = 'test'"))
-    return scored.select("ticket_id", "mismatch_label", "prediction", F.round("confidence", 4).alias("confidence"))
+    return data, newton.train(data)
+
+
+def q_classifier_predictions(spark, sf):
+    from prioscope.operators import newton
+    data, model = _classifier(spark, sf)
+    scored = newton.score(model, data.where("split = 'test'"))
+    return scored.select("ticket_id", "mismatch_label", "prediction", F.round("confidence", 4).alias("confidence"), "candidate", "epoch")
+
+
+def q_classifier_versions(spark, sf):
+    """Epochs of all candidates with their validation score, and which one was chosen."""
+    from prioscope.operators import newton
+    _, model = _classifier(spark, sf)
+    return newton.versions(spark, model).select("candidate", "epoch", "ridge", _r("macro_f1").alias("macro_f1"), "chosen")
+
+
+def q_classifier_thresholds(spark, sf):
+    """Test metrics of the chosen model, unrounded, against the acceptance thresholds."""
+    from prioscope.operators import newton
+    data, model = _classifier(spark, sf)
+    scored = newton.score(model, data.where("split = 'test'"))
+    raw = M.classification_metrics(scored, "mismatch_label", "prediction", digits=None)
+    return M.threshold_checks(raw).withColumn("value", _r("value"))
 
 
 def _stream_source(spark, sf):
@@ -486,6 +512,8 @@ QUERIES = {
     "parsed_response": q_parsed_response,
     "challenge_scoreboard": q_challenge_scoreboard,
     "classifier_predictions": q_classifier_predictions,
+    "classifier_versions": q_classifier_versions,
+    "classifier_thresholds": q_classifier_thresholds,
     "stream_scored": q_stream_scored,
     "stream_arrivals": q_stream_arrivals,
     "stream_daily_counts": q_stream_daily_counts,

@@ -88,7 +88,7 @@ def read_tickets(spark: SparkSession, path: str, fmt: str = "csv",
     order or be absent in some files. Rows with fewer fields than the header get nulls; rows
     with more are refused unless ``surplus="keep"`` keeps them without the fields past the
     header. ``rejects`` names a folder to which the refused records are written as they are
-    (see ``surplus_rows``), so that none vanishes.
+    (see ``rejected_records``), so that none vanishes.
 
     Quoted fields may hold newlines, and every file is still read by as many tasks as it has
     splits (``sources.csv_records``); with ``multi_line=False`` a newline always ends a record.
@@ -124,10 +124,15 @@ def _rejected(rows: DataFrame) -> DataFrame:
         F.col(_FILE).alias("file"), F.col("__row_pos").alias("position"), F.col(f"`{rows.columns[0]}`").alias("first_field"), F.col(SURPLUS).alias("surplus_field"), F.col(_RECORD).alias("record"))
 
 
-def surplus_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Rejects of ``read_tickets``: rows of a CSV path with more fields than their header, as
-    ``file, position, first_field, surplus_field`` (the first one past the header) and the whole ``record``."""
+def rejected_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Rejects of ``read_tickets``: rows of a CSV path with more fields than their header, as ``file,
+    position, first_field, surplus_field`` (the first one past the header) and the whole ``record``."""
     heads, records = read_records(spark, path, multi_line)
     if not heads:
         return spark.createDataFrame([], "file string, position long, first_field string, surplus_field string, record string")
     return _rejected(_united(records, heads, rename=False))
+
+
+def surplus_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """``first_field, surplus_field`` of the rejects (see ``rejected_records``)."""
+    return rejected_records(spark, path, multi_line).select("first_field", "surplus_field")
