@@ -124,3 +124,14 @@ def from_pipe(c: Column) -> Column:
     """'a| b ||c' -> ['a', 'b', 'c']: split on '|', strip, drop blanks; null -> []."""
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: ws_trim(x))
     return F.filter(parts, lambda x: x != "")
+
+
+def number_text(x: Column) -> Column:
+    """A finite double as the original tool prints it: shortest digits, plain from 1e-4 up to
+    1e16 (``10000000.0``), else with a two-digit exponent (``1e+16``, ``5e-05``)."""
+    java = x.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(java.cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    power = F.regexp_extract(java, "E(-?[0-9]+)$", 1).cast("int")
+    far = F.concat(F.regexp_replace(F.regexp_replace(java, "E.*$", ""), r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"),
+                   F.format_string("%02d", F.abs(power)))
+    return F.when(~F.contains(java, F.lit("E")), java).when((F.abs(x) >= 1e-4) & (F.abs(x) < 1e16), plain).otherwise(far)

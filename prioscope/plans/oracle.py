@@ -4,16 +4,15 @@ Built independently of the Spark plans: the same lexicon and template constants,
 row-level SQL (window ranks, UNION ALL of evidence kinds) instead of the distributed
 forms used on Spark. Dialect notes: DuckDB decimal literals are cast to DOUBLE where
 Spark computes in double; ``regexp_matches`` (RE2) already treats ``.`` as "any
-character but newline", and we spell it ``[^\\n]`` on both sides anyway.
+character but newline", so patterns go in as they stand.
 """
 
 from __future__ import annotations
 
-from prioscope.functions.text import PY_WHITESPACE, is_literal, python_dot
+from prioscope.functions.text import PY_WHITESPACE, is_literal
 from prioscope.lexicon import BASELINE, CORE, FULL, APP, LEVELS, Lexicon, preset
 from prioscope.functions.scoring import STRICT_PRIORITY, WIDE_PRIORITY
 from prioscope.operators import dossier as D
-from prioscope.operators.clean import NUMERIC_TEXT
 from prioscope.operators.dataset import MODEL_INPUT_FORMAT, SPLIT_CUTS, SPLIT_SEED
 from prioscope.operators.metrics import THRESHOLDS
 from prioscope.sources.driver_tables import (CHANNELS, PHRASE_BANK, PRIORITY_ALT_TEXT,
@@ -77,7 +76,7 @@ st AS (SELECT avg(resolution_hours) AS hours_mean, stddev_pop(resolution_hours)
 def _hit(tl: str, item: str) -> str:
     if is_literal(item):
         return f"contains({tl}, {lit(item)})"
-    return f"regexp_matches({tl}, {lit(python_dot(item))})"
+    return f"regexp_matches({tl}, {lit(item)})"  # RE2's dot stops at a newline by itself
 
 
 def _count(tl: str, items) -> str:
@@ -197,6 +196,18 @@ ev AS (
 )"""
 
 
+def _evidence_sql(src: str, value: str, texts, shown: str) -> str:
+    """Evidence of the CLI and app styles: keywords of the text, then the resolution time."""
+    flagged = "fl AS (SELECT * FROM au WHERE mismatch_label = 1),\n" if src == "fl" else ""
+    return f""",
+{flagged}kwl AS (SELECT *, list_filter(top_kw, lambda k: contains(lower(full_text), lower(k))) AS kws FROM {src})
+SELECT ticket_id, CAST(generate_subscripts(kws, 1) - 1 AS INTEGER) AS pos, 'keyword' AS signal, unnest(kws) AS value, 'high' AS weight,
+       CAST(NULL AS VARCHAR) AS interpretation FROM kwl
+UNION ALL
+SELECT ticket_id, CAST(len(kws) AS INTEGER), 'resolution_time', {value}, NULL,
+       CASE WHEN resolution_hours > 48 THEN {lit(texts[0])} ELSE {lit(texts[1])} END FROM kwl WHERE {shown}"""
+
+
 def notebook_analysis() -> str:
     return (f"CASE WHEN severity_delta > 0 THEN printf({lit(D.ANALYSIS_NOTEBOOK_CRISIS)}, crit_kw_count, "
             f"esc_phrase_count, inferred_severity_label, priority_norm, abs(severity_delta), resolution_hours) "
@@ -230,6 +241,10 @@ SELECT doc_id, crit_kw_count, high_kw_count, esc_phrase_count, negation_count, n
        nlp_severity, array_to_string(top_kw, '|') AS top_keywords FROM sg"""
 
 
+# a number as a whole field, written apart from the pattern under test
+NUMBER = r"[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([Ee][-+]?[0-9]+)?"
+
+
 def _hours_coerced_sql() -> str:
     v = "value"
     txt = (f"CASE event_id % 8 WHEN 0 THEN printf('%.2f', {v}) "
@@ -240,7 +255,7 @@ def _hours_coerced_sql() -> str:
            f"ELSE '+' || printf('%.2f', {v}) END")
     return f"""
 WITH ht AS (SELECT CAST(event_id AS VARCHAR) AS ticket_id, trim({txt}, {WS}) AS h FROM events),
-pc AS (SELECT ticket_id, CASE WHEN regexp_matches(h, {lit(NUMERIC_TEXT)}) THEN TRY_CAST(h AS DOUBLE) END AS v FROM ht),
+pc AS (SELECT ticket_id, CASE WHEN regexp_full_match(h, {lit(NUMBER)}) THEN TRY_CAST(h AS DOUBLE) END AS v FROM ht),
 pf AS (SELECT ticket_id, CASE WHEN isfinite(v) THEN v END AS v FROM pc),
 md AS (SELECT median(v) AS m FROM pf)
 SELECT ticket_id, coalesce(v, m) AS resolution_hours, CAST(v IS NULL AS INTEGER) AS hours_imputed FROM pf, md"""
@@ -516,6 +531,16 @@ UNION ALL SELECT 'weighted avg',
         "thresholds": with_audit(_metric_ctes() + "\n" + thresholds),
         "dossier_evidence": with_audit(flagged_evidence_ctes() + """
 SELECT ticket_id, pos, signal, value, weight, interpretation FROM ev"""),
+        "dossier_evidence_cli": with_audit(_evidence_sql("fl", f"printf('%.1f hours', resolution_hours)", D.TIME_TEXT_CLI, "TRUE"), mode="nlp"),
+        "dossier_evidence_app": with_audit(_evidence_sql("au", "CAST(resolution_hours AS VARCHAR) || ' hours'", D.TIME_TEXT_APP, app_hours), mode="nlp"),
+        "dossier_violations": with_audit(flagged_evidence_ctes() + """
+, k AS (SELECT ticket_id, severity_delta, CAST(ticket_id AS BIGINT) % 6 AS kind FROM kwl)
+SELECT ticket_id,
+       CASE kind WHEN 2 THEN 'Missing key: confidence' WHEN 4 THEN 'Hallucinated keyword evidence: "zeppelin"'
+            WHEN 5 THEN array_to_string(list_transform(['ticket_id', 'assigned_priority', 'inferred_severity', 'mismatch_type', 'severity_delta',
+                        'feature_evidence', 'constraint_analysis', 'confidence'], lambda x: 'Missing key: ' || x), ' ; ') ELSE '' END AS violations,
+       kind NOT IN (2, 4, 5) AS valid, CASE WHEN kind <> 5 THEN severity_delta END AS severity_delta,
+       CASE WHEN kind NOT IN (1, 2, 5) THEN CAST(0.8 AS DOUBLE) END AS confidence FROM k"""),
         "dossier_text": with_audit(flagged_evidence_ctes() + f"""
 SELECT ticket_id, priority_norm AS assigned_priority, inferred_severity_label AS inferred_severity,
        CASE WHEN severity_delta > 0 THEN 'Hidden Crisis' ELSE 'False Alarm' END AS mismatch_type,
@@ -561,6 +586,29 @@ FROM kwl"""),
             """SELECT count(*) AS n,
        count(*) FILTER (WHERE b.mismatch_label = t.mismatch_label) AS keyword_correct,
        count(*) FILTER (WHERE c.mismatch_label = t.mismatch_label) AS model_correct
+FROM au t JOIN b_au b USING (ticket_id) JOIN c_au c USING (ticket_id)"""),
+        "challenge_matches": (
+            f"WITH {tickets_ctes()},{audit_ctes(CORE, 'fused', '')},{audit_ctes(BASELINE, 'nlp', 'b_')},"
+            """
+k AS (SELECT a.ticket_id, CAST(a.ticket_id AS BIGINT) AS k, a.mismatch_label AS t, b.mismatch_label AS b,
+             CAST(abs(a.nlp_severity - a.priority_score) >= 2 AS INTEGER) AS m FROM au a JOIN b_au b USING (ticket_id)),
+s AS (SELECT ticket_id, CASE WHEN k % 17 <> 4 THEN t END AS t, CASE WHEN k % 11 <> 5 AND k % 7 <> 3 THEN b END AS b, CASE WHEN k % 19 <> 6 THEN m END AS m,
+             CAST(k % 17 <> 4 AS BIGINT) AS nt, CASE WHEN k % 11 = 5 THEN 0 WHEN k % 7 = 3 THEN 2 ELSE 1 END AS nk,
+             CASE WHEN k % 19 = 6 THEN 0 WHEN k % 13 = 2 THEN 2 ELSE 1 END AS nm FROM k)
+SELECT ticket_id, t AS true_label, b AS keyword_pred, m AS model_pred, b = t AS keyword_correct, m = t AS model_correct,
+       nt AS n_truth, CAST(nk AS BIGINT) AS n_keyword, CAST(nm AS BIGINT) AS n_model,
+       CASE WHEN nk = 2 THEN 'ambiguous' WHEN nt = 0 THEN 'no_truth' WHEN nk = 0 THEN 'no_keyword' WHEN nm = 0 THEN 'no_model'
+            WHEN nm = 2 THEN 'repeated' ELSE 'ok' END AS status FROM s WHERE nt + nk + nm > 0"""),
+        "challenge_report": (
+            f"WITH {tickets_ctes()},{audit_ctes(CORE, 'fused', '')},{audit_ctes(BASELINE, 'nlp', 'b_')},{audit_ctes(CORE, 'nlp', 'c_')}\n"
+            """SELECT t.ticket_id, t.mismatch_label AS true_label, t.mismatch_type AS true_mismatch_type, b.mismatch_label AS keyword_pred,
+       c.mismatch_label AS model_pred, b.mismatch_label = t.mismatch_label AS keyword_correct, c.mismatch_label = t.mismatch_label AS model_correct
+FROM au t JOIN b_au b USING (ticket_id) JOIN c_au c USING (ticket_id)"""),
+        "challenge_bonus": (
+            f"WITH {tickets_ctes()},{audit_ctes(CORE, 'fused', '')},{audit_ctes(BASELINE, 'nlp', 'b_')},{audit_ctes(CORE, 'nlp', 'c_')}\n"
+            """SELECT count(*) AS n, count(*) FILTER (WHERE b.mismatch_label = t.mismatch_label) AS keyword_correct,
+       count(*) FILTER (WHERE c.mismatch_label = t.mismatch_label) AS model_correct,
+       count(*) FILTER (WHERE c.mismatch_label = t.mismatch_label) >= 7 AS bonus_earned
 FROM au t JOIN b_au b USING (ticket_id) JOIN c_au c USING (ticket_id)"""),
         "classifier_predictions": _newton_sql("""
 SELECT ticket_id, mismatch_label, CAST(z >= 0 AS INTEGER) AS prediction,

@@ -20,7 +20,7 @@ from prioscope.operators.clean import clean, time_baseline
 from prioscope.operators.dataset import (class_weights, imbalance, stratified_split,
                                          with_model_input)
 from prioscope.operators.ids import tag_scan, ticket_id_from_position, with_position
-from prioscope.operators.challenge import scoreboard
+from prioscope.operators.challenge import bonus, match_predictions, scoreboard
 from prioscope.operators.signals import with_text_signal
 from prioscope.sources.driver_tables import raw_tickets, spread, table, tickets_from
 
@@ -276,6 +276,14 @@ def q_dossier_evidence(spark, sf):
     return D.evidence_rows(dossiers(spark, sf))
 
 
+def q_dossier_evidence_cli(spark, sf):
+    return D.evidence_rows(dossiers(spark, sf, "cli"))
+
+
+def q_dossier_evidence_app(spark, sf):
+    return D.evidence_rows(dossiers(spark, sf, "app"))
+
+
 def q_dossier_text(spark, sf):
     d = dossiers(spark, sf).select("dossier.*")
     return d.select("ticket_id", "assigned_priority", "inferred_severity", "mismatch_type",
@@ -310,6 +318,22 @@ def q_dossier_validation(spark, sf):
                     F.array_join("violations", " ; ").alias("violations"), "valid")
 
 
+def q_dossier_violations(spark, sf):
+    """Stored dossier texts of every kind, by ticket id modulo 6: as built, a null field, an absent
+    key, a delta written as a float, an ungrounded keyword, no object at all."""
+    j = dossiers(spark, sf).select("ticket_id", F.to_json("dossier", {"ignoreNullFields": "false"}).alias("j"), "full_text", "subject")
+    kind = F.pmod(F.col("ticket_id").cast("bigint"), F.lit(6))
+    text = (F.when(kind == 1, F.regexp_replace("j", '"confidence":[0-9.]+', '"confidence":null'))
+            .when(kind == 2, F.regexp_replace("j", ',"confidence":[0-9.]+', ""))
+            .when(kind == 3, F.regexp_replace("j", '"severity_delta":(-?[0-9]+)', '"severity_delta":$1.0'))
+            .when(kind == 4, F.replace("j", F.lit('"feature_evidence":['), F.lit('"feature_evidence":[{"signal":"keyword","value":"zeppelin","weight":"high"},')))
+            .when(kind == 5, F.lit("no dossier")).otherwise(F.col("j")))
+    p = D.parse_responses(j.withColumn("dossier_json", text), "dossier_json").withColumnRenamed("parsed", "dossier")
+    v = D.validate_dossiers(p)
+    return v.select("ticket_id", F.array_join("violations", " ; ").alias("violations"), "valid",
+                    F.col("dossier.severity_delta").alias("severity_delta"), F.col("dossier.confidence").alias("confidence"))
+
+
 def q_dossier_first_n(spark, sf, n: int = 50):
     f = flagged(spark, sf)
     return (f.orderBy("order_key").limit(n)
@@ -359,6 +383,35 @@ def q_challenge_scoreboard(spark, sf):
     return scoreboard(per_ticket)
 
 
+def _prediction_tables(spark, sf):
+    """Truth, keyword baseline and rule model as tables of their own, with gaps and repeats."""
+    a = with_text_signal(audited(spark, sf), BASELINE, prefix="base_")
+    k = F.col("ticket_id").cast("bigint")
+    one = F.array(F.lit(0))
+    truth = a.where(k % 17 != 4).select("ticket_id", F.col("mismatch_label").alias("true_label"))
+    keyword = (a.where(k % 11 != 5).withColumn("copy", F.explode(F.when(k % 7 == 3, F.array(F.lit(0), F.lit(1))).otherwise(one)))
+               .select("ticket_id", F.abs(signal_mismatch("base_nlp_severity") - F.col("copy")).cast("int").alias("prediction")))
+    model = (a.where(k % 19 != 6).withColumn("copy", F.explode(F.when(k % 13 == 2, F.array(F.lit(0), F.lit(0))).otherwise(one)))
+             .select("ticket_id", signal_mismatch("nlp_severity").alias("prediction")))
+    return truth, keyword, model
+
+
+def q_challenge_matches(spark, sf):
+    return match_predictions(*_prediction_tables(spark, sf))
+
+
+def q_challenge_report(spark, sf):
+    """Per ticket: truth, both systems' answers and whether they are right."""
+    a = with_text_signal(audited(spark, sf), BASELINE, prefix="base_")
+    keyword, model, label = signal_mismatch("base_nlp_severity"), signal_mismatch("nlp_severity"), F.col("mismatch_label")
+    return a.select("ticket_id", label.alias("true_label"), F.col("mismatch_type").alias("true_mismatch_type"), keyword.alias("keyword_pred"),
+                    model.alias("model_pred"), (keyword == label).alias("keyword_correct"), (model == label).alias("model_correct"))
+
+
+def q_challenge_bonus(spark, sf):
+    return bonus(scoreboard(q_challenge_report(spark, sf)))
+
+
 # ---------------------------------------------------------------- model / streaming
 def _classifier(spark, sf):
     """Labelled tickets with their split, and the model chosen on them."""
@@ -510,6 +563,12 @@ QUERIES = {
     "dossiers_pending": q_dossiers_pending,
     "prompt_text": q_prompt_text,
     "parsed_response": q_parsed_response,
+    "dossier_evidence_cli": q_dossier_evidence_cli,
+    "dossier_evidence_app": q_dossier_evidence_app,
+    "dossier_violations": q_dossier_violations,
+    "challenge_matches": q_challenge_matches,
+    "challenge_report": q_challenge_report,
+    "challenge_bonus": q_challenge_bonus,
     "challenge_scoreboard": q_challenge_scoreboard,
     "classifier_predictions": q_classifier_predictions,
     "classifier_versions": q_classifier_versions,

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from prioscope.lexicon import CORE
 from prioscope.operators import dossier as D
 from prioscope.operators import metrics as M
 from prioscope.operators import model as ML
+from prioscope.operators import newton
 from prioscope.operators import reports as R
 from prioscope.operators.audit import audit, model_predictions, rule_predictions
 from prioscope.operators.clean import clean, time_baseline
@@ -39,21 +41,44 @@ LABEL_COLUMNS = [
 
 
 def audited_tickets(spark: SparkSession, path: str, fmt: str = "csv", lexicon=CORE,
-                    mode: str = "fused") -> DataFrame:
-    t = clean(read_tickets(spark, path, fmt), impute=False)
-    return audit(t, lexicon, mode, baseline=time_baseline(t))
+                    mode: str = "fused", baseline: DataFrame | None = None, rejects: str | None = None) -> DataFrame:
+    """Audited tickets of an export. ``baseline`` is a stored one (``stored_baseline``); without it
+    the hours of the export itself are the reference. Refused records go to ``rejects``."""
+    t = clean(read_tickets(spark, path, fmt, rejects=rejects), impute=False)
+    return audit(t, lexicon, mode, baseline=baseline if baseline is not None else time_baseline(t))
+
+
+def stored_baseline(spark: SparkSession, model_dir: str | None) -> DataFrame | None:
+    """The hours baseline that ``label_and_train`` put beside its model, if it is there."""
+    try:
+        return spark.read.parquet(os.path.join(model_dir, "..", "baseline")) if model_dir else None
+    except AnalysisException:
+        return None
 
 
 def label_and_train(spark: SparkSession, path: str, out_dir: str, fmt: str = "csv",
-                    reg_params=(0.0, 0.01)) -> dict:
-    """Pseudo-label, split, train, evaluate; returns the test metrics."""
-    labelled = audited_tickets(spark, path, fmt).select(*LABEL_COLUMNS)
+                    reg_params=(0.0, 0.01), classifier: str = "text") -> dict:
+    """Pseudo-label, split, train, evaluate; returns the test metrics.
+
+    ``classifier="text"`` fits the Spark ML pipeline over whole texts, ``"newton"`` the one over
+    counts whose every step can be repeated (``operators.newton``). The hours baseline is
+    stored for later scoring, refused records are written to ``rejects``."""
+    t = clean(read_tickets(spark, path, fmt, rejects=os.path.join(out_dir, "rejects") if fmt == "csv" else None), impute=False)
+    base = os.path.join(out_dir, "baseline")
+    time_baseline(t).write.mode("error").parquet(base)
+    labelled = audit(t, CORE, "fused", baseline=spark.read.parquet(base)).select(*LABEL_COLUMNS, "med_kw_count", "low_kw_count")
     labelled.write.mode("error").parquet(os.path.join(out_dir, "pseudo_labeled"))
     data = materialize(stratified_split(with_model_input(
         spark.read.parquet(os.path.join(out_dir, "pseudo_labeled")))), "train-split")
-    model = ML.train(data.where("split = 'train'"), data.where("split = 'val'"), reg_params)
-    ML.save(model, os.path.join(out_dir, "model"))
-    scored = ML.score(model, data.where("split = 'test'"))
+    where, test = os.path.join(out_dir, "model"), data.where("split = 'test'")
+    if classifier == "newton":
+        model = newton.train(data)
+        newton.save(spark, model, where)
+        scored = newton.score(model, test)
+    else:
+        model = ML.train(data.where("split = 'train'"), data.where("split = 'val'"), reg_params)
+        ML.save(model, where)
+        scored = ML.score(model, test)
     metrics = M.classification_metrics(scored, "mismatch_label", "prediction")
     metrics.coalesce(1).write.mode("error").json(os.path.join(out_dir, "metrics"))
     return metrics.first().asDict()
@@ -61,16 +86,19 @@ def label_and_train(spark: SparkSession, path: str, out_dir: str, fmt: str = "cs
 
 def predict_batch(spark: SparkSession, path: str, out_dir: str, model_dir: str | None = None,
                   fmt: str = "csv") -> None:
-    """Prediction rows for every ticket and dossiers for the flagged ones."""
-    a = audited_tickets(spark, path, fmt, mode="nlp")
-    model = ML.load(model_dir) if model_dir else None
-    if model is None:
-        preds = rule_predictions(a)
-        flagged = a.withColumn("confidence", F.lit(0.80))
+    """Prediction rows for every ticket and dossiers for the flagged ones. The scored tickets are
+    written once and both sinks read them; hours are judged by the model's stored baseline."""
+    a = audited_tickets(spark, path, fmt, mode="nlp", baseline=stored_baseline(spark, model_dir),
+                        rejects=os.path.join(out_dir, "rejects") if fmt == "csv" else None)
+    text = ML.load(model_dir) if model_dir else None
+    counts = newton.load(spark, model_dir) if model_dir and text is None else None
+    if text is None and counts is None:
+        scored = materialize(a.withColumn("confidence", F.lit(0.80)), "scored")
+        preds, flagged = rule_predictions(scored), scored
     else:
-        scored = ML.score(model, with_model_input(a))
-        preds = model_predictions(scored)
-        flagged = scored.withColumn("mismatch_label", F.col("prediction"))
+        scored = ML.score(text, with_model_input(a)) if text is not None else newton.score(counts, a)
+        scored = materialize(scored, "scored")
+        preds, flagged = model_predictions(scored), scored.withColumn("mismatch_label", F.col("prediction"))
     write_predictions_csv(preds, os.path.join(out_dir, "predictions"))
     write_dossiers(D.build_dossiers(flagged, style="cli"), os.path.join(out_dir, "dossiers"))
 

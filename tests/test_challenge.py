@@ -65,3 +65,45 @@ def test_compare_predictions_one_row_per_ticket(spark):
     kw = spark.createDataFrame([("a", 1), ("a", 0), ("a", 1), ("b", 0)], "ticket_id string, prediction int")
     out = compare_predictions(truth, kw, kw)
     assert sorted((r.ticket_id, r.keyword_pred) for r in out.collect()) == [("a", 1), ("b", 0)]
+
+
+def test_match_names_gaps_repeats_and_contradictions(spark):
+    from prioscope.operators.challenge import match_predictions
+    pred = "ticket_id string, prediction int"
+    truth = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1), ("d", 1), ("e", 0), (None, 1)], "ticket_id string, true_label int")
+    keyword = spark.createDataFrame([("a", 0), ("a", 1), ("b", 1), ("b", 1), ("d", 1), ("f", 1), (None, 1)], pred)
+    model = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("e", 0), ("f", 1), (None, 0)], pred)
+    got = {r.ticket_id: r for r in match_predictions(truth, keyword, model).collect()}
+    assert {k: r.status for k, r in got.items()} == {
+        "a": "ambiguous", "b": "repeated", "c": "no_keyword", "d": "no_model", "e": "no_keyword", "f": "no_truth", None: "ok"}
+    assert got["a"].keyword_pred is None and got["a"].keyword_correct is None and got["a"].model_correct is True
+    assert (got["b"].n_keyword, got["b"].keyword_correct, got["b"].model_correct) == (2, True, False)
+    assert (got["f"].n_truth, got["f"].true_label, got[None].keyword_correct) == (0, None, True)
+
+
+def test_results_and_loader(spark, tmpdir_fresh):
+    import json
+    import os
+    from prioscope.operators.challenge import read_challenge, write_results
+    t = clean(_frame(spark))
+    a = audit(t, BASELINE, mode="nlp").select("ticket_id", "true_label", F.col("mismatch_label").alias("keyword_pred"))
+    out = os.path.join(tmpdir_fresh, "out")
+    write_results(a.withColumn("model_pred", F.col("true_label")), out)
+    totals = spark.read.json(os.path.join(out, "totals")).first()
+    assert (totals.n, totals.keyword_correct, totals.model_correct, totals.bonus_earned) == (10, 4, 10, True)
+    assert spark.read.json(os.path.join(out, "results")).count() == 10
+    path = os.path.join(tmpdir_fresh, "in.json")
+    with open(path, "w") as f:
+        for c in CHALLENGE:
+            f.write(json.dumps(dict(zip(("ticket_id", "subject", "description", "priority", "true_label", "kind"), c))) + "\n")
+        f.write('{"ticket_id": "x"}\n{"true_label": 1}\nbroken\n')
+    back = read_challenge(spark, path)
+    assert back.count() == 10
+    assert audit(clean(back), BASELINE, mode="nlp").agg(F.sum((F.col("mismatch_label") == F.col("true_label")).cast("int"))).first()[0] == 4
+
+
+def test_number_text(spark):
+    from prioscope.functions.text import number_text
+    xs = [0.0, 24.0, 52.5, 1e7, 12345678.25, 1e15, 123456789012345.6, 1e16, 1.5e16, 1e22, 0.001, 0.00012345678901234567, 0.0001, 5e-05, 1.25e-7, -3e8, 1e100]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [r[0] for r in df.select(number_text(F.col("x"))).collect()] == [repr(x) for x in xs]

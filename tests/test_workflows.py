@@ -40,3 +40,23 @@ def test_train_predict_dashboard(spark, tmpdir_fresh):
     assert k.total == flagged and k.mismatches == flagged
     empty = W.dashboard(spark, os.path.join(tmpdir_fresh, "none"))
     assert empty["kpis"].first().total == 0
+
+
+def test_count_model_scores_by_its_stored_baseline(spark, tmpdir_fresh):
+    path, n = _export(spark, tmpdir_fresh)
+    run, out = os.path.join(tmpdir_fresh, "run"), os.path.join(tmpdir_fresh, "pred")
+    m = W.label_and_train(spark, path, run, classifier="newton")
+    assert set(m) == {"accuracy", "macro_f1", "recall_class0", "recall_class1"}
+    few = os.path.join(tmpdir_fresh, "few")
+    os.makedirs(few)
+    with open(os.path.join(few, "a.csv"), "w") as f:
+        f.write('Ticket ID,Ticket Subject,Ticket Description,Priority Level,Resolution Time Hours\n'
+                '1,Site,"it is down,\nall of it",Low,\n2,a,b,Low,5,surplus\n3,Logo,colour,Critical,900\n')
+    W.predict_batch(spark, few, out, model_dir=os.path.join(run, "model"))
+    got = {r.ticket_id: r for r in spark.read.option("header", True).csv(os.path.join(out, "predictions")).collect()}
+    assert sorted(got) == ["1", "3"]
+    median = spark.read.parquet(os.path.join(run, "baseline")).first().hours_median
+    a = W.audited_tickets(spark, few, mode="nlp", baseline=W.stored_baseline(spark, os.path.join(run, "model")))
+    assert {r.ticket_id: r.resolution_hours for r in a.collect()} == {"1": median, "3": 900.0}
+    assert spark.read.json(os.path.join(out, "rejects")).first().record == "2,a,b,Low,5,surplus"
+    assert W.stored_baseline(spark, os.path.join(tmpdir_fresh, "none", "model")) is None
