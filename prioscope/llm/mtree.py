@@ -16,7 +16,8 @@ groups, never through one task.
 Defined results: vectors that are null, empty or hold null or non-finite components take no
 part; vectors of another length than the query's are not its candidates; ties go to the
 smaller id; rows that repeat an id are separate candidates, but none with the query's own
-id; fewer candidates than k give fewer rows.
+id; query rows that are equal are one query, and different vectors under one query id are
+queries of their own (each has its ranks); fewer candidates than k give fewer rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prioscope.llm.common import find_package
+from prioscope.session import materialize
 
 SCALE = 1024
 #: Entries of a page, rows of one tree, queries of one block.
@@ -136,13 +138,14 @@ def _exact(vectors: np.ndarray, query: np.ndarray) -> list[int]:
     return [sum(int(a) * b for a, b in zip(row, q)) for row in vectors]
 
 
-def search_group(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of each query's k best among the rows of one group."""
+def search_group(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int,
+                 asks: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(query id, id, score, query number) of each query's k best among the rows of one group."""
     norms = np.einsum("ij,ij->i", vectors, vectors)
     m2 = float(norms.max())
     tree = MTree(np.concatenate([vectors, np.sqrt(np.maximum(m2 - norms, 0.0))[:, None]], axis=1))
     out = []
-    for qid, q in zip(query_ids.tolist(), queries):
+    for qid, ask, q in zip(query_ids.tolist(), asks.tolist(), queries):
         best: list[tuple[int, int]] = []  # heap of (score, -id), worst first
         q2 = float(q @ q)
 
@@ -163,7 +166,7 @@ def search_group(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             return float(np.sqrt(d2 + 1e-9 * (q2 + m2) + 1e-9))
 
         tree.search(np.append(q, 0.0), better, limit)
-        out += [(qid, -i, s) for s, i in best]
+        out += [(qid, -i, s, ask) for s, i in best]
     return out
 
 
@@ -171,25 +174,27 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, group_rows: int =
           block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score``; both inputs as made by ``quantised``."""
     find_package(vectors.sparkSession)
+    # equal query rows are one query; ``ask`` tells apart the vectors of one id
+    queries = materialize(queries.select("vec_id", "v").distinct().withColumn("ask", F.monotonically_increasing_id()), "queries")
     n, nq = vectors.count(), queries.count()
     groups, blocks = max(1, -(-n // group_rows)), max(1, -(-nq // block_queries))
     # rows go to groups by a hash; a block of queries meets every group, a group every block
     rows = vectors.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int").alias("g"),
                           F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.size("v").alias("dim"), "vec_id", "v")
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"),
-                           F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("b"), F.size("v").alias("dim"), "vec_id", "v")
+                           F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("b"), F.size("v").alias("dim"), "ask", "vec_id", "v")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            left, right = left.sort_values("vec_id"), right.sort_values("vec_id")
+            left, right = left.sort_values("vec_id"), right.sort_values(["vec_id", "ask"])
             found = search_group(left["vec_id"].to_numpy(np.int64), np.stack(left["v"].to_numpy()).astype(np.float64),
-                                 right["vec_id"].to_numpy(np.int64), np.stack(right["v"].to_numpy()).astype(np.float64), k)
+                                 right["vec_id"].to_numpy(np.int64), np.stack(right["v"].to_numpy()).astype(np.float64), k, right["ask"].to_numpy(np.int64))
         low, high = -(1 << 63), (1 << 63) - 1
         return pd.DataFrame({"query_id": np.array([f[0] for f in found], np.int64), "vec_id": np.array([f[1] for f in found], np.int64),
-                             "score": np.array([min(max(f[2], low), high) for f in found], np.int64)})
+                             "score": np.array([min(max(f[2], low), high) for f in found], np.int64), "ask": np.array([f[3] for f in found], np.int64)})
 
     keys = ["g", "b", "dim"]
-    near = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long, ask long")
+    rank = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

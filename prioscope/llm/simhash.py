@@ -1,11 +1,14 @@
 """SimHash near-dedup with pivot distance tables.
 
-Fingerprints are compared as classes of equal values. Candidates share two of six bit
-blocks: four differing bits touch at most four blocks, so no pair within the limit is lost
-(fifteen block pairs of about 21 bits each). Each fingerprint's Hamming distances to the
-pivots (reference fingerprints) are its coordinates; by the triangle inequality a pair whose
-coordinates differ anywhere by more than the limit is discarded before it is verified
-bit by bit. Dense groups cost one link per member (see ``components``).
+Fingerprints are compared as classes of equal values. Candidates share ``keep`` of ``keep`` + 4
+bit blocks: four differing bits touch at most four blocks, so no pair within the limit is
+lost. ``keep`` follows the number of fingerprints (two blocks of 21 bits up to 44,000, three of
+27 up to 1.2 million, four of 32 up to 15 million, ...), so that chance meetings stay far below
+one a fingerprint. Each fingerprint's Hamming distances to the pivots (reference fingerprints) are
+its row of the distance table. The row travels with the candidate keys, and where two
+candidates meet, the pair is discarded if their coordinates differ anywhere by more than
+the limit (triangle inequality); only survivors are verified bit by bit. Dense groups cost one
+link per member (see ``components``).
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; a row
 without id has the smallest id of its component (null if there is none); repeated rows
@@ -14,7 +17,9 @@ share their fingerprint. Only the id and text columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import xxhash
@@ -79,27 +84,41 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
                      f"doc_id {kind}, fp long")
 
 
-def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, n_pivots: int = PIVOTS) -> DataFrame:
-    """``(node, component)`` over distinct fingerprints ``fp`` that have a link."""
-    coords = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots(n_pivots)]
-    nodes = materialize(fps.select("fp").distinct().select("fp", F.array(*coords).alias("at")), "pivots")
+def blocks_kept(n: int, max_bits: int = MAX_BITS) -> int:
+    """How many bit blocks make a key, so that of ``n`` fingerprints each meets an unlike one in an
+    eighth of a chance: n / 2 pairs a fingerprint, times the keys, over 2 ** bits of a key. Real
+    fingerprints are less evenly spread than that, so the margin is wide."""
     keep = 2
+    while keep < 8 and 4 * n * comb(max_bits + keep, keep) > 2 ** (64 * keep / (max_bits + keep)):
+        keep += 1
+    return keep
+
+
+def _packed(coords: list[Column]) -> list[Column]:
+    """Coordinates (0 to 64) as bytes of longs, eight in each."""
+    return [reduce(Column.bitwiseOR, [F.shiftleft(c.cast("long"), 8 * i) for i, c in enumerate(coords[at:at + 8])]) for at in range(0, len(coords), 8)]
+
+
+def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, n_pivots: int = PIVOTS, keep: int | None = None) -> DataFrame:
+    """``(node, component)`` over distinct fingerprints ``fp`` that have a link."""
+    coords = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))) for p in pivots(n_pivots)]
+    table = F.struct(*[c.alias(f"t{i}") for i, c in enumerate(_packed(coords))])
+    nodes = materialize(fps.select("fp").distinct().select("fp", table.alias("at")), "pivots")
+    keep = keep or blocks_kept(nodes.count(), max_bits)
     parts = _blocks(max_bits + keep)
-    keys = [F.xxhash64(F.lit(i), _masked(F.col("fp"), two)) for i, two in enumerate(combinations(parts, keep))]
-    members = nodes.select(F.explode(F.array(*keys)).alias("bucket"), F.col("fp").alias("id"))
+    keys = [F.xxhash64(F.lit(i), _masked(F.col("fp"), some)) for i, some in enumerate(combinations(parts, keep))]
+    members = nodes.select(F.explode(F.array(*keys)).alias("bucket"), F.col("fp").alias("id"), "at")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        x, y = nodes.toDF("a", "at_a"), nodes.toDF("b", "at_b")
-        far = F.greatest(*[F.abs(F.col("at_a")[i].cast("int") - F.col("at_b")[i].cast("int")) for i in range(n_pivots)])
-        near = pairs.join(x, "a").join(y, "b").where(far <= max_bits)
-        return near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
+    def near(x: Column, y: Column) -> Column:
+        """Largest difference of the two table rows within the limit."""
+        def byte(row, i):
+            return F.shiftrightunsigned(row[f"t{i // 8}"], 8 * (i % 8)).bitwiseAND(F.lit(255))
+        return reduce(Column.__and__, [F.abs(byte(x, i) - byte(y, i)) <= max_bits for i in range(n_pivots)])
 
-    def coordinate(x: Column, y: Column) -> Column:
-        """One coordinate of the table, which both ids give without a look-up: their
-        distances to the zero fingerprint."""
-        return F.abs(F.bit_count(x) - F.bit_count(y)) <= max_bits
+    def verify(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
 
-    return bucket_components(members, verify, coordinate)
+    return bucket_components(members, verify, near, "at")
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, n_pivots: int = PIVOTS,

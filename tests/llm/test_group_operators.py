@@ -240,6 +240,18 @@ def test_top_k_defined_cases(spark):
     assert mtree.top_k(none, none).collect() == []
 
 
+def test_top_k_repeated_queries_lose_no_neighbour(spark):
+    rnd = np.random.default_rng(9)
+    rows = [(i, rnd.normal(size=4).tolist()) for i in range(1, 40)]
+    q = [(100, [1.0, 2.0, 0.0, 1.0])] * 3 + [(200, [0.5, 0.0, 1.0, 0.0]), (200, [0.0, 1.0, 0.0, 0.0])]
+    v = mtree.quantised(vectors(spark, rows + q))
+    got = [tuple(r) for r in mtree.top_k(v.where("vec_id % 100 = 0"), v).collect()]
+    grid = lambda x: np.floor(np.array(x) * 1024).astype(int)
+    want = [(i, r + 1, n, -s) for i, x in {(i, tuple(x)) for i, x in q}
+            for r, (s, n) in enumerate(sorted((-int(grid(x) @ grid(y)), n) for n, y in rows + q if n != i)[:10])]
+    assert sorted(got) == sorted(want) and len(got) == 30
+
+
 # --- lines ---------------------------------------------------------------------------------
 
 def jaccard(a, b, k=line_dedup.SHINGLE):
@@ -463,3 +475,17 @@ def test_packing_defined_cases(spark):
     assert check_packing(rows, {i: whole_ids(t) for i, t in ODD}) >= 1
     assert sum(r["doc_id"] == 5 for r in rows) == 2 and [r["length"] for r in rows if r["doc_id"] == 1] == [1]
     assert packing.pack(packing.pieces(frame(spark, []))).collect() == []
+
+
+def test_simhash_keys_of_any_width_lose_no_pair(spark):
+    rnd = random.Random(12)
+    base = [rnd.getrandbits(64) for _ in range(40)]
+    near = [b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 6))) for b in base for _ in range(8)]
+    fps = sorted(set(base + near))
+    signed = [x - (1 << 64) if x >= 1 << 63 else x for x in fps]
+    want = union([(a, b) for (a, x), (b, y) in itertools.combinations(list(zip(signed, fps)), 2) if bin(x ^ y).count("1") <= 4], signed)
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for keep in (2, 3, 4):
+        got = {r["node"]: r["component"] for r in simhash.link_fingerprints(df, keep=keep).collect()}
+        assert {n: got.get(n, n) for n in signed} == want
+    assert [simhash.blocks_kept(n) for n in (0, 40_000, 50_000, 256_000, 7_000_000, 100_000_000)] == [2, 2, 3, 3, 4, 5]
