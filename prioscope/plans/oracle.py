@@ -533,6 +533,21 @@ UNION ALL SELECT 'weighted avg',
 SELECT ticket_id, pos, signal, value, weight, interpretation FROM ev"""),
         "dossier_evidence_cli": with_audit(_evidence_sql("fl", f"printf('%.1f hours', resolution_hours)", D.TIME_TEXT_CLI, "TRUE"), mode="nlp"),
         "dossier_evidence_app": with_audit(_evidence_sql("au", "CAST(resolution_hours AS VARCHAR) || ' hours'", D.TIME_TEXT_APP, app_hours), mode="nlp"),
+        "dossier_grounding": with_audit(flagged_evidence_ctes() + """
+, t AS (SELECT ticket_id, lower(full_text || ' ' || subject) AS text, CAST(ticket_id AS BIGINT) AS k FROM au WHERE CAST(ticket_id AS BIGINT) % 14 <> 5),
+tx AS (SELECT ticket_id, text FROM t UNION SELECT ticket_id, 'reopened: ' || text FROM t WHERE k % 9 = 2),
+nt AS (SELECT ticket_id, count(*) AS n FROM tx GROUP BY 1),
+hold AS (SELECT DISTINCT ticket_id, w FROM (SELECT ticket_id, unnest(regexp_extract_all(text, '[a-z0-9]+')) AS w FROM tx)),
+cand AS (SELECT ticket_id, len(ks) AS nk, unnest(ks) AS term, generate_subscripts(ks, 1) AS pos
+         FROM (SELECT ticket_id, list_concat(kws, CASE WHEN CAST(ticket_id AS BIGINT) % 3 = 0 THEN ['open the archive'] ELSE [] END) AS ks FROM kwl)),
+loose AS (SELECT * FROM cand c WHERE length(term) > 3 AND NOT EXISTS (SELECT 1 FROM tx WHERE tx.ticket_id = c.ticket_id AND contains(tx.text, c.term))),
+words AS (SELECT DISTINCT term, unnest(regexp_extract_all(term, '[a-z0-9]+')) AS w FROM (SELECT DISTINCT term FROM loose)),
+hits AS (SELECT term, ticket_id FROM words JOIN hold USING (w) GROUP BY term, ticket_id HAVING count(*) = (SELECT count(*) FROM words x WHERE x.term = words.term)),
+oth AS (SELECT l.ticket_id, l.pos, l.term, count(h.ticket_id) AS n FROM loose l LEFT JOIN hits h ON h.term = l.term AND h.ticket_id <> l.ticket_id GROUP BY ALL),
+msg AS (SELECT ticket_id, string_agg(printf('Ungrounded keyword: "%s" (in %d other tickets)', term, n), ' ; ' ORDER BY pos) AS m FROM oth GROUP BY 1)
+SELECT f.ticket_id, coalesce(nt.n, 0) AS n_texts,
+       concat_ws(' ; ', CASE WHEN nt.n IS NULL THEN 'No ticket text' WHEN nt.n > 1 THEN printf('Ambiguous ticket id: %d texts', nt.n) END, msg.m) AS messages
+FROM fl f LEFT JOIN nt USING (ticket_id) LEFT JOIN msg USING (ticket_id)"""),
         "dossier_violations": with_audit(flagged_evidence_ctes() + """
 , k AS (SELECT ticket_id, severity_delta, CAST(ticket_id AS BIGINT) % 6 AS kind FROM kwl)
 SELECT ticket_id,

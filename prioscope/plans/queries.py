@@ -334,6 +334,22 @@ def q_dossier_violations(spark, sf):
                     F.col("dossier.severity_delta").alias("severity_delta"), F.col("dossier.confidence").alias("confidence"))
 
 
+def q_dossier_grounding(spark, sf):
+    """Dossiers against ticket texts: ids that leave 2 by 9 have a second text, those that leave 5
+    by 14 none, and every third dossier cites a word of other tickets."""
+    a = audited(spark, sf)
+    k = F.col("ticket_id").cast("bigint")
+    texts = a.where(k % 14 != 5).select("ticket_id", "full_text", "subject")
+    texts = texts.union(texts.where(k % 9 == 2).withColumn("full_text", F.concat(F.lit("Reopened: "), "full_text")))
+    cited = F.struct(F.lit("keyword").alias("signal"), F.lit("open the archive").alias("value"), F.lit("high").alias("weight"),
+                     F.lit(None).cast("string").alias("interpretation"))
+    d = D.build_dossiers(a, "notebook", rule_confidence("notebook"))
+    d = d.withColumn("dossier", F.col("dossier").withField("feature_evidence", F.when(
+        k % 3 == 0, F.concat("dossier.feature_evidence", F.array(cited))).otherwise(F.col("dossier.feature_evidence"))))
+    g = D.ground_dossiers(d, texts)
+    return g.select("ticket_id", "n_texts", F.array_join("messages", " ; ").alias("messages"))
+
+
 def q_dossier_first_n(spark, sf, n: int = 50):
     f = flagged(spark, sf)
     return (f.orderBy("order_key").limit(n)
@@ -565,6 +581,7 @@ QUERIES = {
     "parsed_response": q_parsed_response,
     "dossier_evidence_cli": q_dossier_evidence_cli,
     "dossier_evidence_app": q_dossier_evidence_app,
+    "dossier_grounding": q_dossier_grounding,
     "dossier_violations": q_dossier_violations,
     "challenge_matches": q_challenge_matches,
     "challenge_report": q_challenge_report,

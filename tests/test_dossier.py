@@ -117,3 +117,24 @@ def test_validator_join_with_duplicated_ids_does_not_multiply(spark):
     t = _audited(spark).select("ticket_id", "full_text", "subject")
     hot = t.unionByName(t).unionByName(t)  # every id three times
     assert D.validate_dossiers(d, hot).count() == d.count()
+
+
+def test_grounding_against_all_texts_of_an_id(spark):
+    tickets = spark.createDataFrame([("a", "Server is DOWN", "Help"), ("a", "other text", "Billing"), ("a", "other text", "Billing"), ("b", "quiet day", None),
+                                     ("c", "billing outage", "x"), (None, "zeppelin", "")], "ticket_id string, full_text string, subject string")
+
+    def row(i, *words):
+        items = [("keyword", w, "high", None) for w in words] + [("channel", "nowhere", None, None)]
+        return (i, (i, items))
+
+    d = spark.createDataFrame([row("a", "down", "billing"), row("a", "outage"), row("b", "billing outage", "day", "zzzz"), row("z", "down"), row(None, "quiet"), ("n", ("n", None))],
+                              "ticket_id string, dossier struct<ticket_id string, feature_evidence array<struct<signal string, value string, weight string, interpretation string>>>")
+    got = sorted(((r.ticket_id or "", r.n_texts, r.ungrounded, r.elsewhere, r.messages) for r in D.ground_dossiers(d, tickets).collect()))
+    two = "Ambiguous ticket id: 2 texts"
+    assert got == [
+        ("", 0, ["quiet"], [1], ["No ticket text", 'Ungrounded keyword: "quiet" (in 1 other tickets)']),
+        ("a", 2, [], [], [two]),
+        ("a", 2, ["outage"], [1], [two, 'Ungrounded keyword: "outage" (in 1 other tickets)']),
+        ("b", 1, ["billing outage", "zzzz"], [1, 0], ['Ungrounded keyword: "billing outage" (in 1 other tickets)', 'Ungrounded keyword: "zzzz" (in 0 other tickets)']),
+        ("n", 0, [], [], ["No ticket text"]),
+        ("z", 0, ["down"], [1], ["No ticket text", 'Ungrounded keyword: "down" (in 1 other tickets)'])]
