@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def test_every_query_is_registered():
     names = E.queries()
     assert [n for n in names if re.match(r"op\d+_", n)] == sorted((n for n in names if re.match(r"op\d+_", n)), key=lambda n: int(n[2:].split("_")[0]))
-    assert sum(bool(re.match(r"op\d+_", n)) for n in names) == 10 and "pipeline" in names
+    assert sum(bool(re.match(r"op\d+_", n)) for n in names) == 13 and "pipeline" in names
     assert [s for s, _ in P.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "mixing", "best_fit_packing"]
 
 
