@@ -84,3 +84,28 @@ def test_save_and_load(spark, tmpdir_fresh):
     assert again.best.weights == pytest.approx(model.best.weights, abs=0) and len(again.versions) == len(model.versions)
     assert N.versions(spark, again).where("chosen").count() == 1
     assert N.load(spark, os.path.join(tmpdir_fresh, "nope")) is None
+
+
+def test_a_candidate_takes_the_sums_of_the_pass_that_judged_its_start(spark, monkeypatch):
+    made, one_pass = [], N._pass
+    monkeypatch.setattr(N, "_pass", lambda *a: made.append(a[1]) or one_pass(*a))
+    model = N.train(frame(spark), patience=9)
+    assert len(model.versions) == 8 and len(made) == 9  # one at the zero weights, one for each version
+    assert len({tuple(w) for w in made}) == 9
+
+
+def test_pass_counts_rows_with_every_feature(spark):
+    data = frame(spark).withColumn("resolution_hours", F.when(F.col("ticket_id").cast("int") % 5 != 0, F.col("resolution_hours")))
+    data = data.withColumn("mismatch_label", F.when(F.col("ticket_id").cast("int") % 7 != 0, F.col("mismatch_label")))
+    categories = {"channel": ["Chat", "Email"], "ticket_type": ["A"]}
+    weights = np.linspace(-0.4, 0.5, 9)
+    g, h, f1 = N._pass(N.with_features(data, categories), weights, {0: 0.75, 1: 1.5}, 2.0, "mismatch_label")
+    rows = [r for r in data.collect() if r["resolution_hours"] is not None]
+    X = np.array([[1.0, *[r[c] for c in N.COUNTS], r["resolution_hours"] / 24.0, float(r["channel"] == "Email")] for r in rows])
+    y = np.array([np.nan if r["mismatch_label"] is None else r["mismatch_label"] for r in rows])
+    train, val = np.array([r["split"] == "train" for r in rows]), np.array([r["split"] == "val" for r in rows])
+    p, w = 1 / (1 + np.exp(-X @ weights)), np.where(y == 1, 1.5, 0.75)
+    np.testing.assert_allclose(g, X[train].T @ np.nan_to_num(w * (p - y))[train] / 2.0, rtol=1e-9, atol=1e-12)
+    np.testing.assert_allclose(h, (X * (w * p * (1 - p))[:, None])[train].T @ X[train] / 2.0, rtol=1e-9, atol=1e-12)
+    pos = X @ weights >= 0
+    assert f1 == N._macro_f1(*[int((val & a & b).sum()) for a, b in ((y == 1, pos), (y == 0, pos), (y == 1, ~pos), (y == 0, ~pos))])
