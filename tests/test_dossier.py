@@ -138,3 +138,13 @@ def test_grounding_against_all_texts_of_an_id(spark):
         ("b", 1, ["billing outage", "zzzz"], [1, 0], ['Ungrounded keyword: "billing outage" (in 1 other tickets)', 'Ungrounded keyword: "zzzz" (in 0 other tickets)']),
         ("n", 0, [], [], ["No ticket text"]),
         ("z", 0, ["down"], [1], ["No ticket text", 'Ungrounded keyword: "down" (in 1 other tickets)'])]
+
+
+def test_a_response_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, 'x {"ticket_id":"7","severity_delta":2.0,"confidence":0.5} y')], "k int, response string")
+    got = D.parse_responses(df)
+    plan = got.select("parsed.mismatch_type", "parsed.severity_delta")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("regexp_replace(") == 1
+    row = got.first()
+    assert got.columns == ["k", "response", "parsed"]
+    assert (row.parsed.ticket_id, row.parsed.severity_delta, row.parsed.confidence, row.parsed.mismatch_type) == ("7", 2, 0.5, None)
