@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -54,6 +55,11 @@ def _byte_letters() -> dict[int, str]:
     return {x: chr(x) for x in own} | {x: chr(256 + i) for i, x in enumerate(rest)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit ids."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Encoder:
     """Ids of whole texts. A byte-level vocabulary starts a new token at every space that
     follows no other white space, at a word's end and at a line's end, so the words between
@@ -73,12 +79,13 @@ class _Encoder:
         self.marks = {m: self._whole(m) for m in ",.\n"}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def _word(self, word: str) -> bytes:
         """Letters, with a space in front or not: one piece for the merges."""
-        piece = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        # ASCII letters stand for themselves, so only the space changes
+        piece = word.replace(" ", self.letters[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return _packed([t.id for t in self.model.tokenize(piece)])
 
     def _new(self, part: str, lead: str) -> bytes:
         if part.isalpha():
