@@ -82,21 +82,24 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     """
     carried = list(dict.fromkeys(["id", sketch]))
     passes = candidate or (lambda x, y: F.lit(True))
-    shared = members.groupBy("bucket").agg(F.min(F.struct(*carried)).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    lows = materialize(shared.select("bucket", "low"), "lows")
-    lows = F.broadcast(lows) if lows.count() <= BROADCAST_BUCKETS else lows
-    kept = materialize(members.join(lows, "bucket").select("bucket", *carried, "low"), "buckets")
+    # buckets of one member end here, by a count that moves no more than their names
+    shared = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "shared")
+    few = shared.count() <= BROADCAST_BUCKETS
+    met = members.join(F.broadcast(shared) if few else shared, "bucket", "left_semi")
+    met = met if few else materialize(met, "met")
+    lows = materialize(met.groupBy("bucket").agg(F.min(F.struct(*carried)).alias("low")), "lows")
+    kept = materialize(met.join(F.broadcast(lows) if few else lows, "bucket").select("bucket", *carried, "low"), "buckets")
     star = kept.where((F.col("id") != F.col("low.id")) & passes(F.col(f"low.{sketch}"), F.col(sketch)))
     links = materialize(verify(star.select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct()), "links")
-    turn = 0
+    turn, here = 0, kept.select("bucket", *carried, F.col("low.id").alias("low"))
     while True:
         comp = connected_components(links)
-        named = kept.join(comp, kept.id == comp.node, "left").select(
-            "bucket", *carried, F.col("low.id").alias("low"), F.coalesce("component", "id").alias("c"))
+        named = here.join(comp, here.id == comp.node, "left").select("bucket", *carried, "low", F.coalesce("component", "id").alias("c"))
         sizes = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         mixed = sizes.where("n * n > same").select("bucket", "n", (F.col("n") * F.col("n") - F.col("same") > 2 * FEW_PAIRS * F.col("n")).alias("dense"))
         left = materialize(named.join(mixed, "bucket"), "mixed")
+        here = left.select("bucket", *carried, "low")  # the other buckets are joined up and stay so
         dense = left.where("dense")
         rows = dense.count()
         if not rows:

@@ -11,8 +11,8 @@ which one line stays: the first by document id and line number.
 Lines are cut and written once. Shingles are folded into minima within the task that reads
 the line, so they are never shuffled. Texts are looked up only for lines that met another;
 that list of ids is broadcast while it is small (its size is counted) and shuffled beyond
-that. The pairs are then dealt out by the number of their shingles, and each pair's two sets
-are counted within its task.
+that. The pairs' ids are then dealt out by the number of their shingles, and the two sets of a
+pair are made and compared within its row.
 
 Defined results: null texts have no lines and stay null; empty and blank lines are kept and
 never compared; a row without id counts after all others; rows that repeat an id and a text
@@ -50,7 +50,7 @@ BROADCAST_IDS = 1 << 20
 #: Shingles of a line that one row holds while signatures are made.
 BLOCK = 8
 #: Shingles that one task compares when texts are verified, while there are no more tasks
-#: than ``MAX_TASKS`` (beyond that a task takes more and its sets spill).
+#: than ``MAX_TASKS`` (beyond that a task takes more).
 SHINGLES_A_TASK = 1 << 21
 MAX_TASKS = 20_000
 
@@ -111,17 +111,20 @@ def _wanted(pairs: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _similar(both: DataFrame, parts: int) -> DataFrame:
+def _shingles(text: str) -> Column:
+    """Digests of a text's distinct shingles."""
+    units = F.encode(text, "UTF-16BE")
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(units) - (_STEP - 1)), F.lit(2))
+    # the outer lambda binds the units, so a line is encoded once
+    return F.array_distinct(F.transform(F.array(units), lambda u: F.transform(at, lambda i: F.xxhash64(F.substring(u, i, F.lit(_STEP)))))[0])
+
+
+def _similar(both: DataFrame) -> DataFrame:
     """``a, b`` of the rows ``a, b, x, y`` whose texts ``x`` and ``y`` have Jaccard similarity
-    of shingles ``MIN_JACCARD`` or more. Rows of a pair stay in one of ``parts`` partitions."""
-    dealt = both.repartition(parts, "a", "b")
-    side = dealt.select("a", "b", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.encode("x", "UTF-16BE").alias("units")),
-                                                   F.struct(F.lit(2).alias("side"), F.encode("y", "UTF-16BE").alias("units")))))
-    at = side.select("a", "b", "side", "units", F.expr(f"explode(sequence(1, greatest(1, octet_length(units) - {_STEP - 1}), 2))").alias("i"))
-    shingle = at.select("a", "b", "side", F.expr(f"xxhash64(substring(units, i, {_STEP}))").alias("h"))
-    sides = shingle.groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
-    sums = sides.groupBy("a", "b").agg(F.count(F.lit(1)).alias("any"), F.sum((F.col("sides") == 3).cast("int")).alias("common"))
-    return sums.where(F.col("common") >= MIN_JACCARD * F.col("any")).select("a", "b")
+    of shingles ``MIN_JACCARD`` or more. A row holds both sets of its pair."""
+    sets = both.select("a", "b", _shingles("x").alias("x"), _shingles("y").alias("y"))
+    sums = sets.select("a", "b", (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return sums.where(F.col("common") >= MIN_JACCARD * (F.col("both") - F.col("common"))).select("a", "b")
 
 
 def line_components(all_lines: DataFrame) -> DataFrame:
@@ -135,8 +138,8 @@ def line_components(all_lines: DataFrame) -> DataFrame:
         sizes = texts.select("id", F.length("line").cast("long").alias("n"))
         n = pairs.select(F.explode(F.array("a", "b")).alias("id")).join(sizes, "id").agg(F.sum("n")).first()[0]
         parts = -(-(n or 1) // SHINGLES_A_TASK)
-        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return _similar(both, min(parts, MAX_TASKS))
+        dealt = pairs.repartition(min(parts, MAX_TASKS), "a", "b")
+        return _similar(dealt.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y"))
 
     return bucket_components(bands(signed), verify, agreeing, "sketch")
 

@@ -489,3 +489,43 @@ def test_simhash_keys_of_any_width_lose_no_pair(spark):
         got = {r["node"]: r["component"] for r in simhash.link_fingerprints(df, keep=keep).collect()}
         assert {n: got.get(n, n) for n in signed} == want
     assert [simhash.blocks_kept(n) for n in (0, 40_000, 50_000, 256_000, 7_000_000, 100_000_000)] == [2, 2, 3, 3, 4, 5]
+
+
+def test_pairs_of_texts_are_compared_within_their_row(spark):
+    texts = ["abcdefghij" * 3, "abcdefghij" * 4, "abcdefghijk" * 3, "short", "short", "", "äöü\U0001f600 and more text here", "äöü\U0001f600 and more text heres"]
+    rows = [(i, j, texts[i], texts[j]) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    got = line_dedup._similar(spark.createDataFrame(rows, "a long, b long, x string, y string"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+    def shingles(text):
+        units = text.encode("utf-16-be")
+        return {units[i:i + 14] for i in range(0, max(1, len(units) - 13), 2)}
+
+    want = {(a, b) for a, b, x, y in rows if len(shingles(x) & shingles(y)) >= 0.8 * len(shingles(x) | shingles(y))}
+    assert {(r["a"], r["b"]) for r in got.collect()} == want and (3, 4) in want and (6, 7) in want
+
+
+def test_joined_up_buckets_leave_the_rounds(spark, monkeypatch):
+    from prioscope.llm import components
+    sizes, write = {}, components.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "materialize", counted)
+    # buckets 0..49: a pair linked at once; bucket 1000: forty that are linked in part; 2000..: alone
+    members = spark.createDataFrame([(b, 1000 + 2 * b + k) for b in range(50) for k in (0, 1)] + [(1000, i) for i in range(40)]
+                                    + [(2000 + i, i) for i in range(40)], "bucket long, id long")
+    links = bucket_components(members, lambda pairs: pairs.where("a >= 1000 or (a > 0 and (a + b) % 8 = 1)"))
+    got = {r["node"]: r["component"] for r in links.collect()}
+    assert all(got[1000 + 2 * b + 1] == 1000 + 2 * b for b in range(50))
+    assert sizes["shared"] == [51] and sizes["buckets"] == [140] and set(sizes["mixed"]) == {40}
+
+
+def test_words_have_the_ids_of_the_whole_tokenizer():
+    coder = packing._encoder(packing.default_tokenizer())
+    assert packing._packed([]) == b"" and packing._packed([1, 0x01020304]) == bytes([1, 0, 0, 0, 4, 3, 2, 1])
+    for word in (" plain", "plain", " Ünïcode", "straße", " дом", "中文", " x" * 1, " " + "Long" * 90):
+        assert coder._word(word) == coder._whole(word)
