@@ -65,7 +65,8 @@ def _pick(turn: int):
     return F.log(u) / F.pow("weight", F.lit(CENTRE_POWER))
 
 
-def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], candidate=None, sketch: str = "id") -> DataFrame:
+def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], candidate=None, sketch: str = "id",
+                      sketches: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of the links among rows that share a bucket, without listing all pairs.
 
     ``members`` has ``bucket`` and ``id`` (a row may sit in many buckets). ``verify`` turns
@@ -78,9 +79,12 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     whose members are similar to some others only is joined up by a few pairs each as well; a
     round that links almost nothing ends this, and all pairs that are left are verified.
     ``candidate(x, y)`` is an optional cheap necessary condition on the two rows' ``sketch``, a
-    column of ``members``; pairs that fail it are never written.
+    column of ``members``; pairs that fail it are never written. A wide sketch is better given by
+    ``sketches``, which turns the rows of shared buckets into ``id`` and the sketch: it then
+    joins the rows of buckets that are not joined up yet, and the pairs of round one, which
+    are no more than the rows, all go to ``verify``.
     """
-    carried = list(dict.fromkeys(["id", sketch]))
+    carried = ["id"] if sketches else list(dict.fromkeys(["id", sketch]))
     passes = candidate or (lambda x, y: F.lit(True))
     # buckets of one member end here, by a count that moves no more than their names
     shared = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "shared")
@@ -89,7 +93,13 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     met = met if few else materialize(met, "met")
     lows = materialize(met.groupBy("bucket").agg(F.min(F.struct(*carried)).alias("low")), "lows")
     kept = materialize(met.join(F.broadcast(lows) if few else lows, "bucket").select("bucket", *carried, "low"), "buckets")
-    star = kept.where((F.col("id") != F.col("low.id")) & passes(F.col(f"low.{sketch}"), F.col(sketch)))
+    wide = sketches(kept) if sketches else None
+    star = kept.where(F.col("id") != F.col("low.id"))
+    star = star if sketches else star.where(passes(F.col(f"low.{sketch}"), F.col(sketch)))
+
+    def sketched(rows: DataFrame) -> DataFrame:
+        return rows.join(wide, "id") if sketches else rows
+
     links = materialize(verify(star.select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct()), "links")
     turn, here = 0, kept.select("bucket", *carried, F.col("low.id").alias("low"))
     while True:
@@ -107,6 +117,9 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
         turn += 1
         dense = dense.join(dense.groupBy("id").agg(F.sum("n").cast("double").alias("weight")), "id")
         centre = dense.groupBy("bucket").agg(F.max_by(F.struct(*carried, "c"), _pick(turn)).alias("m"))
+        if sketches:
+            centre = sketched(centre.select("bucket", "m.*")).select("bucket", F.struct("id", sketch, "c").alias("m"))
+        dense = sketched(dense)
         met = dense.join(centre, "bucket").where((F.col("c") != F.col("m.c")) & passes(F.col(f"m.{sketch}"), F.col(sketch)))
         met = met.select(F.least("m.id", "id").alias("a"), F.greatest("m.id", "id").alias("b"))
         dealt = dense.withColumn("sub", F.pmod(F.xxhash64("id", F.lit(-turn)), F.ceil(F.col("n") / GROUP)))
@@ -117,6 +130,7 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
         links = links.union(more)
         if more.count() < LEAST_GAIN * rows:
             break
+    left = sketched(left)
     x, y = left.alias("x"), left.alias("y")
     cond = ((F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
             & (F.col("x.id") != F.col("x.low"))  # pairs with the bucket's smallest id are done

@@ -1,18 +1,22 @@
 """Fuzzy line dedup by MinHash, with DataFrame and SQL functions only.
 
-Lines are compared by a 128-bit digest first. A distinct line is the set of its character
-shingles (seven UTF-16 code units; a shorter line is one shingle). Its signature is the
-least shingle hash under each of twelve masks. Twelve bands of three signature places let a
-pair of Jaccard similarity 0.8 meet with probability 0.993 (0.85: 0.998). Pairs that meet
-and whose signatures agree in half of their places are verified by the exact Jaccard
-similarity of their shingle sets, and a distributed union-find makes components, in each of
-which one line stays: the first by document id and line number.
-
-Lines are cut and written once. Shingles are folded into minima within the task that reads
-the line, so they are never shuffled. Texts are looked up only for lines that met another;
-that list of ids is broadcast while it is small (its size is counted) and shuffled beyond
-that. The pairs' ids are then dealt out by the number of their shingles, and the two sets of a
-pair are made and compared within its row.
+Lines are compared by a digest first. A distinct line is the set of its character shingles
+(seven UTF-16 code units; a shorter line is one shingle). Its signature is the least half of a
+shingle's hash under each of 24 masks. Fourteen bands of four signature places let a pair of
+Jaccard similarity 0.8 meet with probability 0.993 (0.85: 0.999; 0.3: 0.1, so that chance
+meetings stay few). Pairs that meet are verified by the exact Jaccard similarity of their
+shingle sets, and a distributed union-find makes components, in each of which one line
+stays: the first by document id and line number.
+
+Before two sets are made, their bitmaps are compared: a shingle sets one of 2,048 bits, so the
+sets differ in at least as many shingles as the bitmaps differ in bits. Where that alone
+rules the similarity out, the pair is dropped; no similar pair is.
+
+Shingles are folded into minima within the task that reads the line, so they are never
+shuffled, and texts are cut again where they are needed rather than written. Texts and bitmaps
+are looked up only for lines that met another; that list of ids is broadcast while it is
+small (its size is counted) and shuffled beyond that. The two sets of a pair are made and
+compared within its row.
 
 Defined results: null texts have no lines and stay null; empty and blank lines are kept and
 never compared; a row without id counts after all others; rows that repeat an id and a text
@@ -35,30 +39,23 @@ from prioscope.session import materialize
 
 SHINGLE = 7
 MIN_JACCARD = 0.8
-MASKS = 12
-#: Bands: triples of the twelve masks in which a pair of masks recurs as little as possible.
-BANDS = ((0, 2, 5), (4, 6, 11), (3, 8, 9), (1, 4, 10), (5, 7, 9), (2, 7, 10),
-         (1, 8, 11), (0, 3, 6), (0, 4, 8), (5, 10, 11), (1, 2, 9), (3, 4, 7))
-#: Signature places in which a pair must agree before its texts are compared: at similarity
-#: 0.8 a pair has six of twelve or more with probability 0.996 (0.85: 0.9997).
-MIN_AGREE = 6
-#: Bits of a signature place by which agreement is judged; six places fit a long.
-SKETCH_BITS = 10
+MASKS = 24
+#: Bands: fours of the masks, in which a pair of masks recurs as little as possible.
+BANDS = ((1, 8, 12, 13), (5, 16, 18, 20), (4, 15, 21, 23), (3, 6, 9, 10), (0, 2, 11, 14), (14, 16, 17, 22), (2, 7, 17, 19),
+         (5, 8, 19, 22), (0, 1, 10, 15), (7, 13, 18, 23), (3, 4, 14, 20), (9, 11, 12, 18), (6, 16, 19, 21), (12, 17, 20, 21))
+#: Longs of a line's bitmap.
+WORDS = 32
 #: Line ids that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1 << 20
 
 #: Shingles of a line that one row holds while signatures are made.
-BLOCK = 8
-#: Shingles that one task compares when texts are verified, while there are no more tasks
-#: than ``MAX_TASKS`` (beyond that a task takes more).
-SHINGLES_A_TASK = 1 << 21
-MAX_TASKS = 20_000
+BLOCK = 4
 
 _STEP = 2 * SHINGLE  # bytes of a shingle in UTF-16
 
 
 def _masks() -> list[int]:
-    return [xxhash.xxh64_intdigest(f"mask {i}".encode()) - (1 << 63) for i in range(MASKS)]
+    return [xxhash.xxh32_intdigest(f"mask {i}".encode()) for i in range(MASKS)]
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,44 +68,46 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def signatures(all_lines: DataFrame) -> DataFrame:
-    """``id, n, m0, m1, ...``: digest of each distinct line, the number of its shingles and
-    their least hash under each mask. A row holds a block of shingles, of which the least is
-    taken before the rows are grouped; the last block repeats the last shingle."""
+    """``id, m0, m1, ...``: digest of each distinct line and the least hash of its shingles under
+    each mask; the masks take the upper and the lower half of a hash in turn. A row holds a
+    block of shingles, of which the least is taken before the rows are grouped; the last block
+    repeats the last shingle."""
     units = all_lines.select("h1", F.encode("line", "UTF-16BE").alias("units"))
     sized = units.select("h1", "units", F.expr(f"greatest(1, octet_length(units) - {_STEP - 1})").alias("last"))
     at = sized.select(F.col("h1").alias("id"), "units", "last", F.expr(f"explode(sequence(1, last, {2 * BLOCK}))").alias("i"))
-    hashed = at.select("id", "last", *[F.expr(f"xxhash64(substring(units, least(i + {2 * j}, last), {_STEP}))").alias(f"h{j}") for j in range(BLOCK)])
-    least = hashed.select("id", "last", *[F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(BLOCK)]).alias(f"m{i}")
-                                          for i, m in enumerate(_masks())])
-    return least.groupBy("id").agg(((F.max("last") + 1) / 2).cast("int").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(MASKS)])
+    hashed = at.select("id", *[F.expr(f"xxhash64(substring(units, least(i + {2 * j}, last), {_STEP}))").alias(f"h{j}") for j in range(BLOCK)])
+    halves = hashed.select("id", *[half.alias(f"{k}{j}") for j in range(BLOCK) for k, half in (
+        ("x", F.shiftrightunsigned(f"h{j}", 32)), ("y", F.col(f"h{j}").bitwiseAND(F.lit((1 << 32) - 1))))])
+    least = halves.select("id", *[F.least(*[F.col(f"{'xy'[i % 2]}{j}").bitwiseXOR(F.lit(m)) for j in range(BLOCK)]).alias(f"m{i}")
+                                  for i, m in enumerate(_masks())])
+    return least.groupBy("id").agg(*[(F.min(f"m{i}") - (1 << 31)).cast("int").alias(f"m{i}") for i in range(MASKS)])
 
 
 def bands(signed: DataFrame) -> DataFrame:
-    """``bucket, id, sketch``: band values of every signature, and ``SKETCH_BITS`` bits of each
-    of its places in two longs."""
+    """``bucket, id``: band values of every signature."""
     keys = [F.xxhash64(F.lit(i), *[f"m{j}" for j in band]) for i, band in enumerate(BANDS)]
-    bits = [F.col(f"m{i}").bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)) for i in range(MASKS)]
-    halves = [reduce(Column.bitwiseOR, [F.shiftleft(b, SKETCH_BITS * i) for i, b in enumerate(bits[at::2])]).alias(f"s{at}") for at in (0, 1)]
-    keyed = signed.select(F.array(*keys).alias("keys"), "id", F.struct(*halves).alias("sketch"))
-    return keyed.select(F.explode("keys").alias("bucket"), "id", "sketch")
+    return signed.select(F.explode(F.array(*keys)).alias("bucket"), "id")
 
 
-def agreeing(x: Column, y: Column) -> Column:
-    """Whether two sketches agree in ``MIN_AGREE`` places: all pairs whose signatures do, and
-    few others (a differing place agrees here once in 2 ** SKETCH_BITS)."""
-    ones = sum(1 << SKETCH_BITS * i for i in range(MASKS // 2))
-    differ = []
-    for half in ("s0", "s1"):
-        d = x[half].bitwiseXOR(y[half])
-        folded = reduce(Column.bitwiseOR, [F.shiftrightunsigned(d, i) for i in range(SKETCH_BITS)])
-        differ.append(F.bit_count(folded.bitwiseAND(F.lit(ones))))
-    return differ[0] + differ[1] <= MASKS - MIN_AGREE
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """``id, sketch`` of ``id, line``: the number ``n`` of a line's shingles, repeats included, and
+    the bitmap ``w0, w1, ...`` in which each shingle sets a bit."""
+    # rows of an id stay together, so both sums need no shuffle
+    units = texts.repartition("id").select("id", F.encode("line", "UTF-16BE").alias("units"))
+    at = units.select("id", "units", F.expr(f"explode(sequence(1, greatest(1, octet_length(units) - {_STEP - 1}), 2))").alias("i"))
+    bits = at.select("id", F.xxhash64(F.substring("units", F.col("i"), F.lit(_STEP))).alias("h")).select(
+        "id", F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1)).alias("k"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    words = bits.groupBy("id", "k").agg(F.bit_or("bit").alias("w"), F.count(F.lit(1)).alias("n"))
+    row = words.groupBy("id").agg(F.sum("n").alias("n"), *[F.bit_or(F.when(F.col("k") == k, F.col("w")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)])
+    return row.select("id", F.struct("n", *[f"w{k}" for k in range(WORDS)]).alias("sketch"))
 
 
-def _wanted(pairs: DataFrame) -> DataFrame:
-    """Ids of the pairs, marked for a broadcast while they are few."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def may_be_similar(x: Column, y: Column) -> Column:
+    """False only for lines whose similarity is below ``MIN_JACCARD``. Of ``both`` shingles
+    that the sets x and y have in sum, ``(1 - j) / (1 + j) * both`` at most are in one only at similarity
+    j; bits in which the bitmaps differ are never more than these."""
+    differ = reduce(Column.__add__, [F.bit_count(x[f"w{k}"].bitwiseXOR(y[f"w{k}"])) for k in range(WORDS)])
+    return differ * (1 + MIN_JACCARD) <= (1 - MIN_JACCARD) * (x["n"] + y["n"]) + 1e-6
 
 
 def _shingles(text: str) -> Column:
@@ -130,26 +129,31 @@ def _similar(both: DataFrame) -> DataFrame:
 def line_components(all_lines: DataFrame) -> DataFrame:
     """``node, component`` over the digests of distinct lines that have a near copy."""
     signed = materialize(signatures(all_lines), "signatures")
+    found = {}
+
+    def sketches(members: DataFrame) -> DataFrame:
+        ids = materialize(members.select("id").distinct(), "ids")
+        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        met = all_lines.join(wanted, all_lines.h1 == wanted.id).select("id", "line").dropDuplicates(["id"])
+        found["texts"] = materialize(met, "texts")
+        found["sketches"] = materialize(bitmaps(found["texts"]), "bitmaps")
+        return found["sketches"]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
-        wanted = _wanted(pairs)
-        texts = materialize(all_lines.join(wanted, all_lines.h1 == wanted.id).select("id", "line").dropDuplicates(["id"]), "texts")
-        sizes = texts.select("id", F.length("line").cast("long").alias("n"))
-        n = pairs.select(F.explode(F.array("a", "b")).alias("id")).join(sizes, "id").agg(F.sum("n")).first()[0]
-        parts = -(-(n or 1) // SHINGLES_A_TASK)
-        dealt = pairs.repartition(min(parts, MAX_TASKS), "a", "b")
-        return _similar(dealt.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y"))
+        texts, s = found["texts"], found["sketches"]
+        close = pairs.join(s.toDF("a", "p"), "a").join(s.toDF("b", "q"), "b").where(may_be_similar(F.col("p"), F.col("q")))
+        return _similar(close.select("a", "b").join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y"))
 
-    return bucket_components(bands(signed), verify, agreeing, "sketch")
+    return bucket_components(bands(signed), verify, may_be_similar, "sketch", sketches)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, own, pos`` of every line that goes: not the first of its component."""
-    all_lines = materialize(lines(docs, id_col, text_col), "lines")
+    all_lines = lines(docs, id_col, text_col)
     comp = line_components(all_lines)
+    places = materialize(all_lines.select("doc_id", "own", "pos", "h1", "h2"), "places")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos", "own")
-    first = all_lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     # a line without near copies is its own component, told apart by both digests; one that
     # is not repeated either stays
     named = first.join(comp, first.h1 == comp.node, "left").where("n > 1 or component is not null")
@@ -157,7 +161,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = materialize(named.select("h1", "h2", *group, "first"), "named")
     kept = named.groupBy("c1", "c2").agg(F.min("first").alias("kept"))
     stays = named.join(kept, ["c1", "c2"]).select("h1", "h2", "kept")
-    return (all_lines.select("doc_id", "own", "pos", "h1", "h2").join(stays, ["h1", "h2"])
+    return (places.join(stays, ["h1", "h2"])
             .where(~place.eqNullSafe(F.col("kept"))).select("doc_id", "own", "pos"))
 
 

@@ -505,6 +505,43 @@ def test_pairs_of_texts_are_compared_within_their_row(spark):
     assert {(r["a"], r["b"]) for r in got.collect()} == want and (3, 4) in want and (6, 7) in want
 
 
+def test_bitmaps_drop_no_similar_pair_and_most_others(spark):
+    rnd = random.Random(8)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(400))
+
+    def variant(edits):
+        line = list(base[:rnd.randint(300, 400)])
+        for _ in range(edits):
+            line[rnd.randrange(len(line))] = rnd.choice("xyzü")
+        return "".join(line)
+
+    lines = [base, "short", "shorter", "abcabcabc" * 9, "abcabcabc" * 12] + [variant(k % 20) for k in range(60)]
+    maps = line_dedup.bitmaps(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    x, y = maps.alias("x"), maps.alias("y")
+    passed = {(r[0], r[1]) for r in x.join(y, F.col("x.id") < F.col("y.id")).where(
+        line_dedup.may_be_similar(F.col("x.sketch"), F.col("y.sketch"))).select("x.id", "y.id").collect()}
+    similar = {p: jaccard(lines[p[0]], lines[p[1]]) for p in itertools.combinations(range(len(lines)), 2)}
+    links = {p for p, j in similar.items() if j >= line_dedup.MIN_JACCARD}
+    # repeats within a line (numbers 3 and 4) only widen the bound
+    assert links and links <= passed and not any(similar[p] < 0.65 for p in passed if not {3, 4} & set(p))
+
+
+def test_lines_of_a_near_group_are_compared_as_sets_only_if_they_may_be_similar(spark, monkeypatch):
+    rnd = random.Random(9)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(400))
+    lines = []
+    for _ in range(80):  # most of the pairs have a similarity of 0.5 to 0.75
+        line = list(base)
+        for p in rnd.sample(range(400), 9):
+            line[p] = rnd.choice("xyz")
+        lines.append("".join(line))
+    seen, similar = [], line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda both: seen.append(both.count()) or similar(both))
+    got = {(r["doc_id"], r["pos"]) for r in line_dedup.removed_lines(frame(spark, list(enumerate(lines)))).collect()}
+    assert got <= brute_lines(list(enumerate(lines)))
+    assert sum(seen) < 400  # of 3,160 pairs
+
+
 def test_joined_up_buckets_leave_the_rounds(spark, monkeypatch):
     from prioscope.llm import components
     sizes, write = {}, components.materialize
